@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, packing, shards, urls
+from . import chat, decontam, fingerprints, neardup, packing, shards, urls
 from .common import table
 
 
@@ -61,6 +61,10 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str, **tokenizer: str) -> DataFrame:
     pieces = packing.pack_documents(table(spark, sf_dir, "documents"), **(tokenizer or public_tokenizer()))
     return pieces.drop("ids")
@@ -83,6 +87,7 @@ QUERIES = {
     "op4_urls": op4_urls,
     "op5_chat": op5_chat,
     "op6_shards": op6_shards,
+    "op7_neardup": op7_neardup,
     "op8_packing": op8_packing,
     "op9_decontam": op9_decontam,
 }
