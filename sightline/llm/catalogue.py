@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, neardup, packing, shards, urls
+from . import chat, decontam, fingerprints, langid, neardup, packing, quality, shards, urls
 from .common import table
 
 
@@ -13,6 +13,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    fold = langid.bucket("doc_id", 3)
+    model = langid.train(documents.where(fold != 1))
+    judged = langid.identify(documents.select("doc_id", "text"), model)
+    return judged.select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 #: (host, path, verdict), as the contract states them.
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -82,14 +90,26 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_digest(decontam.find_leaks(documents, table(spark, sf_dir, "benchmark")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = langid.bucket("doc_id", 5)
+    model = quality.train(
+        quality.trusted(documents, table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold != 0))), documents.where(fold != 0)
+    )
+    judged = quality.judge(documents, model)
+    return judged.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_language": op3_language,
     "op4_urls": op4_urls,
     "op5_chat": op5_chat,
     "op6_shards": op6_shards,
     "op7_neardup": op7_neardup,
     "op8_packing": op8_packing,
     "op9_decontam": op9_decontam,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL = {
