@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, fingerprints, langid, neardup, packing, quality, shards, urls
+from . import chat, decontam, fingerprints, html, langid, neardup, packing, quality, shards, urls
 from .common import table
 
 
@@ -13,6 +13,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    read = html.extract(pages, html.train(spark))
+    return read.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     fold = langid.bucket("doc_id", 3)
@@ -102,6 +108,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_html": op2_html,
     "op3_language": op3_language,
     "op4_urls": op4_urls,
     "op5_chat": op5_chat,
