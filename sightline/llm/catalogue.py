@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,17 +81,10 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str, **tokenizer: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), **(tokenizer or public_tokenizer()))
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), **(tokenizer or packing.public_tokenizer()))
     return pieces.drop("ids")
 
 
-def public_tokenizer() -> dict[str, str]:
-    """Where the vocabulary of the contract lies, as a library's file and as tiktoken ranks."""
-    import public_tokenizers
-
-    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
-
-
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.leak_digest(decontam.find_leaks(documents, table(spark, sf_dir, "benchmark")))
@@ -117,9 +111,12 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_decontam": op9_decontam,
     "op10_quality": op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op4_urls": OP4_SQL % ", ".join(map(str, URL_RULES)),
     "op5_chat": chat.ORACLE,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
