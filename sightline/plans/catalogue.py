@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import grid, normalise, rotation
+from ..functions import geodesy, grid, normalise, rotation
 from ..operators import aggregate, interest, kernel, polygons, segments, sight
 from ..settings import Settings
 from ..sources.tables import grid_from_lineitem
 from . import oracle
-from .metadata import metadata_row
+from .metadata import metadata_row, read_metadata
 
 #: Of the registered queries, the flagship and the benchmark.
 PLAIN = Settings(48)
@@ -74,9 +74,9 @@ def dem_nodata_stats(spark, sf_dir):
     )
 
 
-@register(oracle.query(oracle.angles(PLAIN), "select angle_id, inverse, quadrant, round(alpha, 9) as alpha, round(beta, 9) as beta from angles"))
+@register(oracle.query(oracle.angles(PLAIN), "select angle_id, inverse, quadrant, round(alpha, 9) + 0.0::double as alpha, round(beta, 9) + 0.0::double as beta from angles"))
 def angle_table(spark, sf_dir):
-    return rotation.angle_table(spark, PLAIN).withColumns({"alpha": F.round("alpha", 9), "beta": F.round("beta", 9)})
+    return rotation.angle_table(spark, PLAIN).withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("alpha", "beta")})
 
 
 @register(oracle.query(oracle.rotated(PLAIN, FEW), "select angle_id, line, pos, dem_id from rotated"))
@@ -84,9 +84,10 @@ def rotated_cells(spark, sf_dir):
     return rotation.rotated_cells(spark, PLAIN, FEW)
 
 
-@register(oracle.query(oracle.lines(PLAIN, FEW), "select angle_id, line, pos, dem_id, elev from gathered"))
+@register(oracle.query(oracle.lines(PLAIN, FEW), "select angle_id, line, pos, dem_id, coalesce(elev, -32768) as elev from gathered"))
 def line_elevations(spark, sf_dir):
-    return sight.gather(rotation.rotated_cells(spark, PLAIN, FEW), _dem(spark, sf_dir), PLAIN).select("angle_id", "line", "pos", "dem_id", "elev")
+    cells = sight.gather(rotation.rotated_cells(spark, PLAIN, FEW), _dem(spark, sf_dir), PLAIN)
+    return cells.select("angle_id", "line", "pos", "dem_id", F.coalesce("elev", F.lit(-32768)).alias("elev"))
 
 
 @register(oracle.query(oracle.lines(PLAIN, FEW), "select angle_id, line, pos, dem_id, elev from lines"))
@@ -337,8 +338,31 @@ def heatmap_pixels(spark, sf_dir):
     return normalise.exponential(_values(spark, sf_dir)).select("tvs_id", normalise.pixel(F.col("normal")).alias("pixel"))
 
 
-@register("""select 48 as width, 1.0::double as scale, 16 as max_line_of_sight, 0.0::double as centre_lon, 0.0::double as centre_lat, null::integer as neighbourhood_size, 1 as angle_subdivisions""")
+@register("""select 48 as width, 1.0::double as scale, 16 as max_line_of_sight, 0.0::double as centre_lon, 0.0::double as centre_lat, 16 as neighbourhood_size, 1 as angle_subdivisions""")
 def metadata_json(spark, sf_dir):
-    from .metadata import read_metadata
+    return read_metadata(metadata_row(spark, Settings(48, neighbourhood=BLOCK)))
 
-    return read_metadata(metadata_row(spark, PLAIN))
+
+#: Longitude and latitude of the grid's centre in the geodesy queries, and metres between its cells.
+ANCHOR = (-2.5879, 51.4545)
+CELL = 100.0
+
+
+def _metres() -> tuple:
+    dem_id = F.col("dem_id")
+    middle = (PLAIN.width - 1) / 2
+    return (grid.column_of(dem_id, PLAIN.width) - middle) * CELL, (middle - grid.row_of(dem_id, PLAIN.width)) * CELL
+
+
+@register()
+def geodesy_inverse(spark, sf_dir):
+    at = geodesy.to_degrees(*_metres(), *ANCHOR)
+    return _dem(spark, sf_dir).select("dem_id", at.alias("at")).select("dem_id", F.round("at.lon", 9).alias("lon"), F.round("at.lat", 9).alias("lat"))
+
+
+@register(f"select range as dem_id, (range % 48 - 23.5::double) * {CELL} + 0.0::double as x, (23.5::double - range // 48) * {CELL} + 0.0::double as y from range(2304)")
+def geodesy_forward(spark, sf_dir):
+    """Metres of every cell after a round trip through longitude and latitude."""
+    there = _dem(spark, sf_dir).select("dem_id", geodesy.to_degrees(*_metres(), *ANCHOR).alias("at"))
+    back = there.select("dem_id", geodesy.to_metres(F.col("at.lon"), F.col("at.lat"), *ANCHOR).alias("m"))
+    return back.select("dem_id", (F.round("m.x", 5) + F.lit(0.0)).alias("x"), (F.round("m.y", 5) + F.lit(0.0)).alias("y"))
