@@ -7,12 +7,24 @@ their input and some of its rows; the last returns packed pieces.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.llm import decontam, langid, neardup, packing, quality
 from sightline.llm.common import cut_lineage, table
 
+READ = ("doc_id", "text", "lang")
+
+
+def kept_where(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], condition: Column) -> DataFrame:
+    """The rows of `docs` for which what `judge` adds meets a condition; columns of the same names as what it adds stay as they are."""
+    renamed = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in READ}
+    judged = judge(docs.withColumnsRenamed(renamed)).where(condition)
+    return judged.select(*[F.col(renamed.get(c, c)).alias(c) for c in docs.columns])
+
+
 #: A language decision scored lower than this is no decision.
 LEAST_LANGUAGE_SCORE = 0.4
 
@@ -24,7 +36,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
     model = quality.train(quality.trusted(docs, good), docs)
-    return quality.judge(docs, model).where("predicted = 1").select(*docs.columns) if model else docs
+    return kept_where(docs, lambda rows: quality.judge(rows, model), F.col("predicted") == 1) if model else docs
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +45,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Without any row that names its language every row stays.
     """
     model = langid.train(docs)
-    told = langid.identify(docs, model)
     clear = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
-    return told.where(clear).select(*docs.columns) if model.languages else docs
+    return kept_where(docs, lambda rows: langid.identify(rows, model), clear) if model.languages else docs
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +67,8 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark text."""
-    leaks = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return leaks.where(F.size("hit_ranges") == 0).select(*docs.columns)
+    benchmark = table(spark, sf_dir, "benchmark")
+    return kept_where(docs, lambda rows: decontam.find_leaks(rows, benchmark), F.size("hit_ranges") == 0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,66 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from sightline.llm import fingerprints as f
+
+from ..conftest import DATA
+from . import awkward
+
+
+def texts(spark, *rows):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+
+
+def expected(rows):
+    """doc_id -> (n, sha of the edited text), by brute force."""
+    rows = sorted(((d if d is not None else -(2**63)), t or "", d) for d, t in rows)
+    out = []
+    for i, (_, text, d) in enumerate(rows):
+        half = len(text) // 2
+        follow = rows[(i + 1) % len(rows)][1]
+        changed = text[: len(text) - half] + follow[:half]
+        out.append((d, len(text), hashlib.sha256(changed.encode()).hexdigest()))
+    return out
+
+
+def key(row):
+    return str(row)
+
+
+@pytest.mark.parametrize("which", ["awkward", "crowded", "sf0.001"])
+def test_report_by_brute_force(spark, which):
+    docs = {"awkward": awkward.documents, "crowded": awkward.crowded}.get(which, lambda s: s.read.parquet(f"{DATA}/sf0.001/documents.parquet"))(spark)
+    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in f.edit_report(docs).collect()]
+    assert sorted(got, key=key) == sorted(expected([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]), key=key)
+
+
+def test_equal_texts_have_equal_fingerprints_and_others_do_not(spark):
+    rows = f.edit_report(texts(spark, "a b c d e f", "a b c d e f", "a b c d e f ", "a b c d\ne f", "a b c d\n\ne f", None, "")).collect()
+    prints = {r["doc_id"]: r["fingerprint"] for r in rows}
+    assert prints[0] == prints[1] and prints[5] == prints[6]
+    assert len({prints[i] for i in (0, 2, 3, 4, 5)}) == 5
+
+
+def test_likeness_follows_the_edit(spark):
+    body = " ".join(f"w{i}" for i in range(400))
+    rows = {r["doc_id"]: r for r in f.edit_report(texts(spark, body, "zz " * 400, body)).collect()}
+    assert 0.4 < rows[0]["near_edited"] < 0.6 and rows[0]["near_next"] == 0 and rows[2]["near_next"] == 1
+
+
+def test_one_row_follows_itself_and_none_gives_none(spark):
+    assert f.edit_report(texts(spark, "a b c d")).first()["near_next"] == 1
+    assert f.edit_report(awkward.empty(spark)).isEmpty()
+
+
+def test_differing_branches_locate_an_edit(spark):
+    pair = texts(spark, "one\ntwo\n\nthree\nfour", "one\ntwo\n\nthree\nFOUR").select("doc_id", f.tree(F.col("text")).alias("t"))
+    joined = pair.where("doc_id = 0").select(F.col("t").alias("a")).crossJoin(pair.where("doc_id = 1").select(F.col("t").alias("b")))
+    where = joined.select(f.differing(F.col("a"), F.col("b")).alias("d"), f.differing(F.col("a"), F.col("a")).alias("same")).first()
+    assert [tuple(x) for x in where["d"]] == [(1, 2)] and where["same"] == []
+
+
+def test_trees_beside_other_columns(spark):
+    rows = f.fingerprint(awkward.crowded(spark))
+    assert rows.count() == len(awkward.ROWS) and rows.first()["score"] == "mine"
