@@ -45,7 +45,7 @@ def test_equal_texts_have_equal_fingerprints_and_others_do_not(spark):
 
 def test_likeness_follows_the_edit(spark):
     body = " ".join(f"w{i}" for i in range(400))
-    rows = {r["doc_id"]: r for r in f.edit_report(texts(spark, body, "zz " * 400, body)).collect()}
+    rows = {r["doc_id"]: r for r in f.edit_report(texts(spark, body, " ".join(f"z{i}" for i in range(400)), body)).collect()}
     assert 0.4 < rows[0]["near_edited"] < 0.6 and rows[0]["near_next"] == 0 and rows[2]["near_next"] == 1
 
 
