@@ -257,7 +257,8 @@ def components(edges: DataFrame) -> DataFrame:
         after = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
         same = after.count() == now.count() and after.exceptAll(now).isEmpty()
         if same:
-            return after.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+            roots = after.select(F.col("b").alias("a"), "b").distinct()
+            return after.union(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
         now = after
 
 
