@@ -25,6 +25,8 @@ def kept_where(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], conditi
     return judged.select(*[F.col(renamed.get(c, c)).alias(c) for c in docs.columns])
 
 
+#: Ids of documents to drop up to which these are broadcast (8 bytes each, about 32 MB once hashed).
+BROADCAST_IDS = 1_000_000
 #: A language decision scored lower than this is no decision.
 LEAST_LANGUAGE_SCORE = 0.4
 
@@ -58,8 +60,10 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     judged = cut_lineage(neardup.near_duplicates(docs, width=5, percent=80))
     named = judged.where("doc_id is not null")
     repeated = not named.groupBy("doc_id").count().where("count > 1").isEmpty()
-    stay = named.where("kept").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(stay, "doc_id", "left_semi")
+    gone = cut_lineage(named.where("not kept").select("doc_id").distinct())
+    # A hash table of that many longs is small; more of them are joined by a shuffle.
+    few = gone.count() <= BROADCAST_IDS
+    kept = docs.where("doc_id is not null").join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     if repeated:
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)

@@ -55,3 +55,10 @@ def test_awkward_documents_pass_through(spark):
     kept = corpus_pipeline.keep_distinct(spark, awkward.documents(spark), SF)
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == sorted(map(str, [1, 2, 3, 4, 5, 7, 8, 9, None, 10, 11]))
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_dropped_ids_beyond_the_broadcast_bound_are_shuffled(spark, monkeypatch):
+    docs = common.table(spark, f"{DATA}/sf0.001", "documents")
+    broadcast = ids(corpus_pipeline.keep_distinct(spark, docs, SF))
+    monkeypatch.setattr(corpus_pipeline, "BROADCAST_IDS", 0)
+    assert ids(corpus_pipeline.keep_distinct(spark, docs, SF)) == broadcast == ids(neardup.near_duplicates(docs).where("kept"))
