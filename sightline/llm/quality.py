@@ -16,7 +16,6 @@ a hash; a score reads the whole text.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,13 +29,12 @@ SAMPLE = 8000
 HIDDEN = 12
 STEPS = 600
 THRESHOLD = 0.3
-N_MEASURES = 16
+N_MEASURES = 17
 
 _upper = bytes(range(65, 91))
 _digits = bytes(range(48, 58))
 _marks = b".,;:'\"-?()"
 _symbols = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b not in _marks)
-_lower = re.compile(rb"[a-z\x80-\xff]")
 
 
 def _share(raw: bytes, dropped: bytes) -> float:
@@ -49,8 +47,8 @@ def measures(text: str | None) -> list[float]:
     In order: shares of capitals, symbols, marks, digits, white space and
     non-ASCII bytes; repeats of the word before; share of the commonest word;
     distinct words against all and against their root; length; mean word length;
-    distinct words without a small letter; repeated lines; line length; distinct
-    words once case and symbols are gone.
+    distinct words whose ASCII letters are all capitals; repeated lines; line length;
+    distinct words once case and symbols are gone; words of marks and symbols only.
     """
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
@@ -65,8 +63,9 @@ def measures(text: str | None) -> list[float]:
         _share(raw, _upper), _share(raw, _symbols), _share(raw, _marks), _share(raw, _digits), _share(raw, b" \t\r\n"),
         1 - len(raw.decode("ascii", "ignore")) / size,
         repeats / n, counts.most_common(1)[0][1] / n, len(counts) / n, len(counts) / math.sqrt(n), math.log1p(n) / 10,
-        (size - n) / n / 20, sum(not _lower.search(w) for w in counts) / len(counts), 1 - len(set(lines)) / len(lines),
+        (size - n) / n / 20, sum(map(bytes.isupper, counts)) / len(counts), 1 - len(set(lines)) / len(lines),
         math.log1p(size / len(lines)) / 10, len({w.strip(_marks + _symbols).lower() for w in counts}) / len(counts),
+        sum(k for w, k in counts.items() if not w.strip(_marks + _symbols)) / n,
     ]
 
 
