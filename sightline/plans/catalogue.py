@@ -23,6 +23,7 @@ from .metadata import metadata_row, read_metadata
 PLAIN = Settings(48)
 FLAGSHIP = Settings(36)
 BENCH = Settings(144)
+#: Angles of the short queries; each has a twin `_all_angles` over the whole circle.
 FEW = [0, 45, 90, 180, 225, 315, 359]
 BLOCK = 16
 #: (column, row) corners of a rectangle inside the central third.
@@ -95,6 +96,22 @@ def line_filled(spark, sf_dir):
     return sight.lines(_dem(spark, sf_dir), PLAIN, FEW).select("angle_id", "line", "pos", "dem_id", "elev")
 
 
+@register(oracle.query(oracle.rotated(PLAIN), "select angle_id, line, pos, dem_id from rotated"))
+def rotated_cells_all_angles(spark, sf_dir):
+    return rotation.rotated_cells(spark, PLAIN)
+
+
+@register(oracle.query(oracle.lines(PLAIN), "select angle_id, line, pos, dem_id, coalesce(elev, -32768) as elev from gathered"))
+def line_elevations_all_angles(spark, sf_dir):
+    cells = sight.gather(rotation.rotated_cells(spark, PLAIN), _dem(spark, sf_dir), PLAIN)
+    return cells.select("angle_id", "line", "pos", "dem_id", F.coalesce("elev", F.lit(-32768)).alias("elev"))
+
+
+@register(oracle.query(oracle.lines(PLAIN), "select angle_id, line, pos, dem_id, elev from lines"))
+def line_filled_all_angles(spark, sf_dir):
+    return sight.lines(_dem(spark, sf_dir), PLAIN).select("angle_id", "line", "pos", "dem_id", "elev")
+
+
 @register(oracle.query(oracle.dem(PLAIN), f"select dem_id, {oracle.tvs(PLAIN)} as tvs_id from dem where {oracle.circle(PLAIN)}"))
 def computable_points(spark, sf_dir):
     dem = _dem(spark, sf_dir).where(grid.is_computable(F.col("dem_id"), PLAIN.width))
@@ -126,11 +143,22 @@ def slopes(spark, sf_dir):
     return made.select("dem_id", "angle_id", "k", F.round(F.col("slope").cast("double"), 4).alias("slope"))
 
 
+@register(oracle.query(oracle.slopes(PLAIN), "select dem_id, angle_id, k, round(slope::double, 4) as slope from views"))
+def slopes_all_angles(spark, sf_dir):
+    made = sight.slopes(sight.lines(_dem(spark, sf_dir), PLAIN), PLAIN)
+    return made.select("dem_id", "angle_id", "k", F.round(F.col("slope").cast("double"), 4).alias("slope"))
+
+
 @register(oracle.query(oracle.visibility(PLAIN, FEW), "select dem_id, angle_id, k, visible from seen"))
 def visibility_bitmap(spark, sf_dir):
     return _seen(spark, sf_dir, angles=FEW).select("dem_id", "angle_id", "k", "visible")
 
 
+@register(oracle.query(oracle.visibility(PLAIN), "select dem_id, angle_id, k, visible from seen"))
+def visibility_bitmap_all_angles(spark, sf_dir):
+    return _seen(spark, sf_dir).select("dem_id", "angle_id", "k", "visible")
+
+
 @register(oracle.query(oracle.surfaces(PLAIN), "select dem_id, sum_k from surfaces"))
 def total_surfaces(spark, sf_dir):
     return aggregate.total_surfaces(_seen(spark, sf_dir))
@@ -294,6 +322,23 @@ def segment_rings(spark, sf_dir):
     return made.select("dem_id", "angle_id", "start", "distance", *corners)
 
 
+@register(
+    oracle.query(
+        oracle.segments(PLAIN),
+        "select dem_id, angle_id, start, distance, "
+        + ", ".join(
+            f"round({r} * cos(angle_id * pi() / 180 {o} pi() / 360), 6) + 0.0::double as {n}x, round({r} * sin(angle_id * pi() / 180 {o} pi() / 360), 6) + 0.0::double as {n}y"
+            for r, o, n in (("start", "+", "a"), ("start", "-", "b"), ("(start + distance)", "-", "c"), ("(start + distance)", "+", "d"))
+        )
+        + " from segs",
+    )
+)
+def segment_rings_all_angles(spark, sf_dir):
+    made = segments.rings(segments.polar_segments(_seen(spark, sf_dir)), PLAIN.angles, PLAIN.scale)
+    corners = [(F.round(F.col("ring")[i][axis], 6) + F.lit(0.0)).alias(f"{n}{axis}") for i, n in enumerate("abcd") for axis in "xy"]
+    return made.select("dem_id", "angle_id", "start", "distance", *corners)
+
+
 @register(
     oracle.query(
         oracle.segments(PLAIN),

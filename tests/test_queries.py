@@ -16,3 +16,9 @@ def test_entry_point_lists_them(spark):
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 88
+
+
+@pytest.mark.parametrize("name", ["rotated_cells", "line_elevations", "line_filled", "slopes", "visibility_bitmap", "segment_rings"])
+def test_whole_circle_is_registered(spark, name):
+    whole = catalogue.QUERIES[f"{name}_all_angles"](spark, "/root/testdata/sf0.001")
+    assert [r[0] for r in whole.select("angle_id").distinct().orderBy("angle_id").collect()] == list(range(360))
