@@ -9,15 +9,17 @@ The class prior is estimated from P and U alone: it is at most U(A) / P(A) for
 every set A, so the least such ratio over score ranges of a first classifier
 bounds it.
 
-Fitting uses at most about SAMPLE positives and as many unlabelled rows, chosen by
-a hash; a score reads the whole text.
+Fitting uses at most about SAMPLE positives and as many unlabelled rows. Of
+each distinct text as many copies are taken as its part of the rows asks for, so
+copies are thinned, not taken or lost together. The class prior is a figure of
+all unlabelled rows, and a score reads the whole text.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,19 +120,44 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float, non_negative: bool = True,
     return Model(mean, scale, theta[0], theta[1], theta[2], float(theta[3][0]), prior)
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The least ratio of the shares of U and P above a score of a classifier that tells P from U, with room for chance."""
+def estimate_prior(p: np.ndarray, u: np.ndarray, reached: Callable[[Model, np.ndarray], np.ndarray] | None = None) -> float:
+    """The least ratio of the shares of U and P above a score of a classifier that tells P from U, with room for chance.
+
+    p and u fit the classifier. `reached` tells for a classifier and ascending
+    scores how many rows of all of U have none of them, one of them, and so on; without it u is all of U.
+    """
     first = _fit(p, u, 0.5, non_negative=False, steps=200)
     sp, su = first.score(p), first.score(u)
-    room = math.sqrt(math.log(20) / min(len(p), len(u)) / 2)
-    ratios = [
-        (np.mean(su >= t) + room) / (share - room)
-        for t in np.quantile(np.concatenate([sp, su]), np.linspace(0, 0.95, 60))
-        if (share := np.mean(sp >= t)) > 0.2 + room
-    ]
+    # A hair less, so that rows of one text are on one side however they were batched.
+    levels = np.quantile(np.concatenate([sp, su]), np.linspace(0, 0.95, 60)) - 1e-9
+    held = reached(first, levels) if reached else _levels(su, levels)
+    above = np.cumsum(held[::-1])[::-1][1:] / held.sum()
+    room = math.sqrt(math.log(20) / min(len(p), held.sum()) / 2)
+    ratios = [(a + room) / (share - room) for a, t in zip(above, levels, strict=True) if (share := np.mean(sp >= t)) > 0.2 + room]
     return float(np.clip(min([*ratios, 0.99]), 0.05, 0.99))
 
 
+def _levels(scores: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """How many scores reach none of the ascending levels, one, and so on."""
+    return np.bincount(np.searchsorted(levels, scores, side="right"), minlength=len(levels) + 1)
+
+
+def levels_of(rows: DataFrame, model: Model, levels: np.ndarray) -> np.ndarray:
+    """`_levels` of the scores of all rows' column text; only these counts leave the tasks."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(len(levels) + 1, int)
+        for batch in batches:
+            if len(batch):
+                held += _levels(model.score(np.array([measures(body.as_py()) for body in batch["text"]])), levels)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), pa.array(held, pa.int64())], names=["level", "n"])
+
+    held = np.zeros(len(levels) + 1, int)
+    for row in rows.select("text").mapInArrow(counted, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
+        held[row["level"]] = row["n"]
+    return held
+
+
 def measured(rows: DataFrame, text: str = "text") -> DataFrame:
     """The measures of each row's text as an array column `x`, beside its other columns."""
     with_x = rows.select(*[c for c in rows.columns if c.lower() != "x"], F.array().cast("array<double>").alias("x"))
@@ -152,20 +179,43 @@ def trusted(documents: DataFrame, positives: DataFrame, key: str = "doc_id", sam
     return documents.join(F.broadcast(ids), key, "left_semi")  # about `sample` keys at most
 
 
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The measures of the column text: of every row, or of about `sample` rows in which each distinct text has its part.
+
+    Of m equal texts floor(m * sample / n + u) are taken, u a hash of the text: no
+    text is taken more often than its part of the rows, give or take one.
+    """
+    body = F.coalesce("text", F.lit(""))
+    keyed = rows.select(body.alias("text"), F.xxhash64(body, F.lit(3)).alias("key"))
+    sizes = keyed.groupBy("key").count()
+    n = sizes.agg(F.sum("count")).first()[0] or 0
+    if n <= sample:
+        x = np.array([r["x"] for r in measured(keyed).select("x").toLocalIterator()]).reshape(-1, N_MEASURES)
+    else:
+        chance = F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 20)) / float(1 << 20)
+        taken = sizes.select("key", F.floor(F.col("count") * F.lit(sample / n) + chance).alias("taken")).where("taken > 0")
+        chosen = keyed.join(F.broadcast(taken), "key")  # about `sample` keys at most
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                new = [i for i, key in enumerate(batch["key"].to_pylist()) if key not in seen and not seen.add(key)]
+                yield batch.take(pa.array(new, pa.int64()))
+
+        # A text's copies are measured once a task and kept once.
+        found = measured(chosen.mapInArrow(once, chosen.schema)).select("key", "taken", "x").dropDuplicates(["key"])
+        each = [(r["taken"], r["x"]) for r in found.toLocalIterator()]
+        x = np.repeat(np.array([e[1] for e in each]), [e[0] for e in each], axis=0)
+    return x[np.lexsort(x.T)]
+
+
 def train(positives: DataFrame, unlabelled: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model | None:
     """Fit to the texts of two tables; null texts count as empty. None when either table is empty."""
-    sides = []
-    for rows in (positives, unlabelled):
-        rows = rows.select(F.col(text).alias("text"))
-        n = rows.count()
-        chance = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-        some = rows.where(chance < F.lit(sample / n)) if n > sample else rows
-        x = np.array([r["x"] for r in measured(some).select("x").toLocalIterator()])  # N_MEASURES numbers a row
-        if not len(x):
-            return None
-        sides.append(x[np.lexsort(x.T)])
-    p, u = sides
-    return _fit(p, u, estimate_prior(p, u))
+    sides = [rows.select(F.col(text).alias("text")) for rows in (positives, unlabelled)]
+    p, u = (sampled(rows, sample) for rows in sides)
+    if not len(p) or not len(u):
+        return None
+    return _fit(p, u, estimate_prior(p, u, lambda first, levels: levels_of(sides[1], first, levels)))
 
 
 def judge(documents: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -83,3 +83,11 @@ def test_prior_is_found_and_risk_does_not_fall_below_zero():
         assert abs(found - prior) < 0.12
         model = quality._fit(good, mixed, found)
         assert (model.score(good) > 0.5).mean() > 0.9 and (model.score(mixed[n:]) < 0.5).mean() > 0.9
+
+
+def test_prior_of_a_corpus_with_one_very_common_text(spark):
+    good = spark.range(3000).select(F.concat(F.lit("These are quiet words about number "), "id", F.lit(" and what became of it, in the end.")).alias("text"))
+    for common in ("$$$ WIN WIN WIN $$$ 999", "### BUY BUY ### 777 ###", "%%% CLICK CLICK %%% 5"):
+        docs = good.unionByName(spark.range(1500).select(F.lit(common).alias("text")))
+        model = quality.train(good, docs, sample=1000)
+        assert 0.6 < model.prior < 0.85
