@@ -6,8 +6,8 @@ languages with a one from those with a zero. A text's margins are decoded to
 the codeword with the least logistic loss, every bit weighed by how well it
 told the training languages apart.
 
-The counts behind the classifiers come from at most about SAMPLE labelled rows
-of each language, chosen by a hash; a prediction reads the whole text.
+The counts behind the classifiers come from all labelled rows, each of the same
+weight; a prediction reads the whole text.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-SAMPLE = 4000
 GRAMS = 1 << 16
 #: Bits of the code when there are too many languages for all splits.
 LONG_CODE = 31
@@ -94,18 +93,12 @@ class Model:
         return self.decode(*self.margins(text))
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Fit the code to labelled rows; those with a null text or language are left out. Without any the model knows no language."""
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not languages:
         return Model([], np.zeros((0, 1)), np.zeros((GRAMS, 1), np.float32), np.ones(1))
-    share = F.lit(1.0)
-    for name, n in sizes.items():
-        if n > sample:
-            share = F.when(F.col("lang") == name, F.lit(sample / n)).otherwise(share)
-    chance = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -113,14 +106,18 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
             for body, name in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
                 ids = gram_ids(body)
                 # Long texts speak no louder than others.
-                seen.setdefault(name, np.zeros(GRAMS))[:] += np.bincount(ids, minlength=GRAMS) / max(1, len(ids))
+                counts = seen.setdefault(name, np.zeros(GRAMS))
+                if len(ids) < PIECE:
+                    np.add.at(counts, ids, 1 / max(1, len(ids)))
+                else:
+                    counts += np.bincount(ids, minlength=GRAMS) / len(ids)
         for name, counts in seen.items():
             held = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([name] * len(held)), pa.array(held, pa.int32()), pa.array(counts[held])], names=["lang", "gram", "n"]
             )
 
-    grams = known.where(chance < share).mapInArrow(counted, "lang string, gram int, n double")
+    grams = known.mapInArrow(counted, "lang string, gram int, n double")
     table = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # GRAMS rows for each language at most
     counts = np.zeros((len(languages), GRAMS))
     np.add.at(counts, (table["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(int), table["gram"].to_numpy(int)), table["n"].to_numpy())

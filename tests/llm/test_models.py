@@ -91,3 +91,13 @@ def test_prior_of_a_corpus_with_one_very_common_text(spark):
         docs = good.unionByName(spark.range(1500).select(F.lit(common).alias("text")))
         model = quality.train(good, docs, sample=1000)
         assert 0.6 < model.prior < 0.85
+
+
+def test_language_of_few_texts_with_many_copies(spark):
+    said = {"aa": "zorna pilek vudra", "bb": "mwithe kalono sibu", "cc": "xarra quexil ooft", "dd": "jentu bladdi grosk", "ee": "yipsa thunn carvo", "ff": "hylli debrak funst"}
+    rows = spark.createDataFrame(list(said.items()), "lang string, text string")
+    model = langid.train(rows.crossJoin(spark.range(5000).select("id")))
+    assert {k: model.predict(v)[0] for k, v in said.items()} == {k: k for k in said}
+    sure = {k: model.predict(v)[1] for k, v in said.items()}
+    once = langid.train(rows)
+    assert sure == pytest.approx({k: once.predict(v)[1] for k, v in said.items()}, abs=1e-3)
