@@ -1,7 +1,8 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and spans.
 
-A section ends before a blank line, a paragraph at each line end, a span after
-SPAN_WORDS words of a paragraph. A paragraph's node is the SHA-256 of its text, a
+A section ends before a blank line, a paragraph at each line end, a span at a
+line end or after a word whose hash is 0 modulo SPAN_WORDS, so that spans fall in
+step again after an insertion. Where no such word comes a span ends after LONGEST words. A paragraph's node is the SHA-256 of its text, a
 section's node that of its paragraphs' nodes, the root that of the sections'
 nodes. Equal texts have equal roots; from unequal roots one descends to the
 sections and paragraphs that differ. The spans below the paragraphs are kept
@@ -16,7 +17,11 @@ from pyspark.sql import functions as F
 from .common import private_name, shuffle_partitions
 
 SPAN_WORDS = 4
-SPAN = r"[^\S\n]*+(?:\S++[^\S\n]*+){1,%d}\n?+|\s" % SPAN_WORDS
+LONGEST = 64
+WORD = r"[^\S\n]*+\S++[^\S\n]*+\n?+|\s"
+SPAN = r"[^\S\n]*+(?:\S++[^\S\n]*+){1,%d}\n?+|\s" % LONGEST
+#: Put behind the last word of a span; in a text it ends a span as well.
+END = "\x00"
 SECTION_END = r"\n(?=[ \t]*\n)"
 #: Ranges of keys for each shuffle partition in `with_next`.
 RANGES = 4
@@ -42,7 +47,13 @@ def root(text: Column) -> Column:
 
 def spans(text: Column) -> Column:
     """The distinct 32-bit hashes of a text's spans, in order of appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(SPAN), F.lit(0)), lambda s: F.hash(s)))
+    def marked(word: Column) -> Column:
+        last = F.pmod(F.hash(F.trim(word)), F.lit(SPAN_WORDS)) == 0
+        return F.when(last, F.concat(word, F.lit(END))).otherwise(word)
+
+    words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), marked)
+    pieces = F.split(F.array_join(words, ""), END)
+    return F.array_distinct(F.transform(F.flatten(F.transform(pieces, lambda p: F.regexp_extract_all(p, F.lit(SPAN), F.lit(0)))), lambda s: F.hash(s)))
 
 
 def likeness(a: Column, b: Column) -> Column:

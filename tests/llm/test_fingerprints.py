@@ -64,3 +64,10 @@ def test_differing_branches_locate_an_edit(spark):
 def test_trees_beside_other_columns(spark):
     rows = f.fingerprint(awkward.crowded(spark))
     assert rows.count() == len(awkward.ROWS) and rows.first()["score"] == "mine"
+
+
+def test_near_copies_stay_alike_after_one_word_more_or_less(spark):
+    words = [f"w{i}" for i in range(600)]
+    longer, shorter = [*words[:3], "new", *words[3:]], words[:3] + words[4:]
+    rows = f.edit_report(texts(spark, " ".join(longer), " ".join(words), " ".join(shorter))).collect()
+    assert all(r["near_next"] > 0.95 for r in rows)
