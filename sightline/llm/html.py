@@ -41,6 +41,8 @@ TRUTH = "data-truth"
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
+#: Of these, what may close itself and hold its like.
+FOREIGN = {"svg", "math"}
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -105,6 +107,7 @@ def parse(page: str) -> Node:
     """The tree of block elements of a page. Unclosed, misnested and unknown tags are put up with."""
     root = at = Node("html", None)
     links = depth = end = 0
+    beyond: list[str] = []  # open blocks not descended into, innermost last
 
     def text(raw: str) -> None:
         if raw:
@@ -119,17 +122,26 @@ def parse(page: str) -> Node:
             if tag in INLINE:
                 links -= tag == "a" and links > 0
                 continue
-            node, same = at, HEADINGS if tag in HEADINGS else {tag}
+            same = HEADINGS if tag in HEADINGS else {tag}
+            place = len(beyond) - 1
+            while place >= 0 and beyond[place] not in same and not (tag in NARROW and beyond[place] in SCOPES - {tag}):
+                place -= 1
+            if place >= 0:
+                if beyond[place] in same:
+                    del beyond[place:]
+                    links = 0
+                continue
+            node = at
             while node and node.tag not in same and not (tag in NARROW and node.tag in SCOPES - {tag}):
                 node = node.parent
             if node and node.tag in same and node.parent:
                 at, links = node.parent, 0
+                beyond.clear()
             elif tag == "br":
                 at.parts.append(None)
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, end)
-            end = close.end() if close else len(page)
+            end = end if tag in FOREIGN and m[3].endswith("/") else _raw_end(page, end, tag)
             continue
         if tag in ("html", "body", "head") and at.parent is None and tag != "head":
             _attributes(root, m[3])
@@ -140,22 +152,49 @@ def parse(page: str) -> Node:
         if tag in VOID:
             at.parts.append(None)
             continue
-        node = at
-        while node.parent and node.tag not in (CLOSES.get(tag, {"p"})) and node.tag not in SCOPES:
-            node = node.parent
-        if node.parent and node.tag in CLOSES.get(tag, {"p"}):
-            at = node.parent
+        closed = CLOSES.get(tag, {"p"})
+        place = len(beyond) - 1
+        while place >= 0 and beyond[place] not in closed and beyond[place] not in SCOPES:
+            place -= 1
+        if place >= 0:
+            if beyond[place] in closed:
+                del beyond[place:]
+        else:
+            node = at
+            while node.parent and node.tag not in closed and node.tag not in SCOPES:
+                node = node.parent
+            if node.parent and node.tag in closed:
+                at = node.parent
+                beyond.clear()
         links = 0
         depth = _depth(at)
         new = Node(tag, at, {WORDS[tag]} if tag in WORDS and tag not in ("body", "text") else set())
         _attributes(new, m[3])
         at.parts.append(new)
-        if depth < MAX_DEPTH and not m[3].endswith("/"):
+        if m[3].endswith("/"):
+            continue
+        if depth < MAX_DEPTH:
             at = new
+        else:
+            beyond.append(tag)
     text(page[end:])
     return root
 
 
+def _raw_end(page: str, start: int, tag: str) -> int:
+    """Where a raw element opened before `start` ends: at its own end tag, else at the first, else with the page."""
+    ends = re.compile(rf"<(/?){tag}(?![^\s/>])((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>" if tag in FOREIGN else rf"<(/){tag}\b()[^>]*>", re.I)
+    inside, first = 1, len(page)
+    for m in ends.finditer(page, start):
+        if m[1]:
+            inside, first = inside - 1, min(first, m.end())
+            if not inside:
+                return m.end()
+        else:
+            inside += not m[2].endswith("/")
+    return first
+
+
 def _depth(node: Node) -> int:
     n = 0
     while node := node.parent:

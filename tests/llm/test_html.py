@@ -79,3 +79,25 @@ def test_other_columns_and_repeats(spark, forest):
     got = h.extract(rows, forest).collect()
     assert len(got) == 3 and len({(r["page_id"], r["text"]) for r in got}) == 2
     assert h.extract(rows.limit(0), forest).isEmpty()
+
+
+ARTICLE = "<article><h1>Title</h1><p>First sentence, with some words in it.</p><p>Second sentence, with some more words.</p></article>"
+SAID = "Title First sentence, with some words in it. Second sentence, with some more words."
+
+
+def spoken(node):
+    return " ".join("".join((spoken(p) + " ") if isinstance(p, h.Node) else " " if p is None else p if isinstance(p, str) else p[0] for p in node.parts).split())
+
+
+@pytest.mark.parametrize("picture", ["<svg class='i'/>", "<svg/>", "<math display='block' />", "<svg><svg><a/></svg><text>no</text></svg>", "<svg><svg/><text>no</text></svg>", "<svg><svg></svg>"])
+def test_text_after_foreign_elements(picture):
+    assert spoken(h.parse(f"<body>{picture}{ARTICLE}</body>")) == SAID
+
+
+def test_end_tags_of_blocks_too_deep_close_nothing_else():
+    deep = "<div>" * 400 + "<p>x<p>y" + "</div>" * 400
+    root = h.parse(f"<main><div class='wrap'>{deep}<p>after</p></div><p>outside</p></main>")
+    main = root.parts[0]
+    wrap, outside = main.parts
+    assert main.tag == "main" and wrap.tag == "div" and outside.parts == ["outside"]
+    assert wrap.parts[-1].tag == "p" and wrap.parts[-1].parts == ["after"]
