@@ -17,33 +17,37 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PAGES = 500
-TREES = 16
-DEPTH = 5
-#: Depth of nesting up to which nodes are told apart; deeper ones join the node there.
-MAX_DEPTH = 150
-#: Pages whose nodes are judged in one go.
-TOGETHER = 200
+PAGES = 1000
+TREES = 24
+DEPTH = 6
+STEP = 0.5
+#: Nodes that are judged in one go: pages are gathered until they have so many.
+TOGETHER = 1 << 15
 
 #: Marks content (1) and what is not (0) in the made-up pages; no feature sees it.
 TRUTH = "data-truth"
 
 # Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe xmp noembed noframes template svg math".split())
-#: Of these, what may close itself and hold its like.
+#: What is dropped unread up to its end tag: it is no text of a page.
+CODE = {"script", "style"}
+#: What holds no elements: its inside is text up to its end tag.
+PLAIN = set("textarea title iframe xmp noembed noframes".split())
+#: What lies in a line of text whatever its own elements are called.
 FOREIGN = {"svg", "math"}
-INLINE = set(
+#: Blocks that cannot stand in those and end them.
+LEAVES = set("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head li menu ol p pre table ul".split())
+INLINE = FOREIGN | set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
 )
 #: What an opening tag closes when it is the innermost open block of that kind.
@@ -67,17 +71,18 @@ KINDS = {
     "notice": "cookie cookies consent notice notices alert gdpr privacy popup modal overlay dialog banner message warning",
     "social": "share sharing social follow subscribe newsletter signup",
     "comment": "comment comments reply replies respond disqus discussion reader readers feedback",
-    "form": "form login search searchbox button input select fieldset",
+    "form": "form login search searchbox button input select fieldset textarea",
     "content": "article content main post entry story text body prose page",
 }
 WORDS = {w: k for k, words in enumerate(KINDS.values()) for w in words.split()}
 TAGS = "article main section div p h1 h2 h3 h4 ul ol li table blockquote pre figure figcaption nav header footer aside form dl text".split()
 
-_token = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S
-)
-_attribute = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A tag from its `<` on. Nothing in it is tried twice, so that a page costs as much as it is long.
+_tag = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
+_comment_end = re.compile(r"--!?>")
+_attribute = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
 _camel = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ends = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in CODE | PLAIN}
 
 
 @dataclass(eq=False)
@@ -97,109 +102,142 @@ def _attributes(node: Node, raw: str) -> None:
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role", "itemprop", "aria-label"):
             node.kinds |= {WORDS[w.lower()] for w in _camel.findall(value) if w.lower() in WORDS}
-        elif name == TRUTH:
+        elif name == TRUTH and value in ("0", "1"):
             node.label = int(value)
-        elif name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none", value)) or (name == "aria-hidden" and value == "true"):
+        elif name == "hidden" or (name == "style" and re.search(r"display\s*+:\s*+none", value)) or (name == "aria-hidden" and value == "true"):
             node.hidden = True
 
 
+class Blocks:
+    """The open blocks of a page, the root first, and where each kind of them is open."""
+
+    def __init__(self, root: Node):
+        self.open = [root]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def innermost(self, tags: set[str]) -> int:
+        """Place of the innermost open block of these tags, 0 for none (the root is never closed)."""
+        return max((places[-1] for t in tags if (places := self.places.get(t))), default=0)
+
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else 0
+
+    def push(self, node: Node) -> None:
+        place = len(self.open)
+        self.open.append(node)
+        self.places.setdefault(node.tag, []).append(place)
+        if node.tag in SCOPES:
+            self.scopes.append(place)
+
+    def close(self, place: int) -> None:
+        """Close the block at a place and all within it."""
+        while len(self.open) > place:
+            node = self.open.pop()
+            self.places[node.tag].pop()
+            if node.tag in SCOPES:
+                self.scopes.pop()
+
+
 def parse(page: str) -> Node:
-    """The tree of block elements of a page. Unclosed, misnested and unknown tags are put up with."""
-    root = at = Node("html", None)
-    links = depth = end = 0
-    beyond: list[str] = []  # open blocks not descended into, innermost last
-
-    def text(raw: str) -> None:
-        if raw:
-            at.parts.append((raw,) if links else raw)
-
-    while m := _token.search(page, end):
-        text(page[end : m.start()])
-        end, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+    """The tree of block elements of a page. Unclosed, misnested and unknown tags are put up with.
+
+    The page is read once from front to back, and each block is opened and closed
+    once, however deep. A tag that never ends takes the rest of the page with it.
+    """
+    root = Node("html", None)
+    blocks = Blocks(root)
+    links = foreign = at = 0
+    while True:
+        less = page.find("<", at)
+        if raw := page[at:] if less < 0 else page[at:less]:
+            blocks.open[-1].parts.append((raw,) if links else raw)
+        if less < 0:
+            return root
+        m = _tag.match(page, less)
+        if not m:
+            at, said = _no_tag(page, less, foreign > 0)
+            if said:
+                blocks.open[-1].parts.append((said,) if links else said)
             continue
+        at, tag, rest = m.end(), m[2].lower(), m[3]
         if m[1]:
-            if tag in INLINE:
+            if tag in FOREIGN:
+                foreign -= foreign > 0
+            elif tag in INLINE:
                 links -= tag == "a" and links > 0
-                continue
-            same = HEADINGS if tag in HEADINGS else {tag}
-            place = len(beyond) - 1
-            while place >= 0 and beyond[place] not in same and not (tag in NARROW and beyond[place] in SCOPES - {tag}):
-                place -= 1
-            if place >= 0:
-                if beyond[place] in same:
-                    del beyond[place:]
-                    links = 0
-                continue
-            node = at
-            while node and node.tag not in same and not (tag in NARROW and node.tag in SCOPES - {tag}):
-                node = node.parent
-            if node and node.tag in same and node.parent:
-                at, links = node.parent, 0
-                beyond.clear()
+            elif (place := _closed_by(blocks, tag)) > 0:
+                blocks.close(place)
+                links = foreign = 0
             elif tag == "br":
-                at.parts.append(None)
+                blocks.open[-1].parts.append(None)
             continue
-        if tag in RAW:
-            end = end if tag in FOREIGN and m[3].endswith("/") else _raw_end(page, end, tag)
+        alone = rest.endswith("/")
+        if tag in FOREIGN:
+            foreign += not alone
             continue
-        if tag in ("html", "body", "head") and at.parent is None and tag != "head":
-            _attributes(root, m[3])
+        if tag in CODE and not (foreign and alone):
+            _, at = _raw_end(page, at, tag)
             continue
-        if tag in INLINE:
+        if tag in LEAVES:
+            foreign = 0
+        if foreign or tag in INLINE:
             links += tag == "a"
             continue
+        if tag in ("html", "body") and len(blocks.open) == 1:
+            _attributes(root, rest)
+            continue
         if tag in VOID:
-            at.parts.append(None)
+            blocks.open[-1].parts.append(None)
             continue
         closed = CLOSES.get(tag, {"p"})
-        place = len(beyond) - 1
-        while place >= 0 and beyond[place] not in closed and beyond[place] not in SCOPES:
-            place -= 1
-        if place >= 0:
-            if beyond[place] in closed:
-                del beyond[place:]
-        else:
-            node = at
-            while node.parent and node.tag not in closed and node.tag not in SCOPES:
-                node = node.parent
-            if node.parent and node.tag in closed:
-                at = node.parent
-                beyond.clear()
+        if (place := blocks.innermost(closed)) and place >= blocks.scope():
+            blocks.close(place)
         links = 0
-        depth = _depth(at)
-        new = Node(tag, at, {WORDS[tag]} if tag in WORDS and tag not in ("body", "text") else set())
-        _attributes(new, m[3])
-        at.parts.append(new)
-        if m[3].endswith("/"):
-            continue
-        if depth < MAX_DEPTH:
-            at = new
-        else:
-            beyond.append(tag)
-    text(page[end:])
-    return root
-
-
-def _raw_end(page: str, start: int, tag: str) -> int:
-    """Where a raw element opened before `start` ends: at its own end tag, else at the first, else with the page."""
-    ends = re.compile(rf"<(/?){tag}(?![^\s/>])((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>" if tag in FOREIGN else rf"<(/){tag}\b()[^>]*>", re.I)
-    inside, first = 1, len(page)
-    for m in ends.finditer(page, start):
-        if m[1]:
-            inside, first = inside - 1, min(first, m.end())
-            if not inside:
-                return m.end()
-        else:
-            inside += not m[2].endswith("/")
-    return first
-
-
-def _depth(node: Node) -> int:
-    n = 0
-    while node := node.parent:
-        n += 1
-    return n
+        above = blocks.open[-1]
+        new = Node(tag, above, {WORDS[tag]} if tag in WORDS and tag not in ("body", "text") else set())
+        _attributes(new, rest)
+        above.parts.append(new)
+        if tag in PLAIN:
+            end, after = _raw_end(page, at, tag)
+            if end > at:
+                new.parts.append(page[at:end])
+            at = after
+        elif not alone:
+            blocks.push(new)
+
+
+def _no_tag(page: str, less: int, foreign: bool) -> tuple[int, str]:
+    """Where reading goes on after a `<` that opens no whole tag, and what text it stands for."""
+    if page.startswith("<!--", less):
+        end = _comment_end.search(page, less + 2)
+        return (end.end() if end else len(page)), ""
+    if foreign and page.startswith("<![CDATA[", less):
+        end = page.find("]]>", less)
+        return (end + 3, page[less + 9 : end]) if end >= 0 else (len(page), page[less + 9 :])
+    after = page[less + 1 : less + 2]
+    letter = page[less + 2 : less + 3] if after == "/" else after
+    if letter.isascii() and letter.isalpha():  # a tag that never ends
+        return len(page), ""
+    if after in ("!", "?") or after == "/" and letter:
+        end = page.find(">", less)
+        return (end + 1 if end >= 0 else len(page)), ""
+    return less + 1, "<"
+
+
+def _raw_end(page: str, at: int, tag: str) -> tuple[int, int]:
+    """Where an element that holds no elements ends, before and after its end tag; without one, with the page."""
+    m = _ends[tag].search(page, at)
+    if not m:
+        return len(page), len(page)
+    end = page.find(">", m.end())
+    return m.start(), end + 1 if end >= 0 else len(page)
+
+
+def _closed_by(blocks: Blocks, tag: str) -> int:
+    """The place of the block that an end tag closes, 0 for none."""
+    place = blocks.innermost(HEADINGS if tag in HEADINGS else {tag})
+    return 0 if tag in NARROW and place < blocks.scope() else place
 
 
 def _own_text(node: Node) -> None:
@@ -242,8 +280,8 @@ def survey(page: str) -> Tree:
         parents.append(parent)
         stack += [(p, here) for p in reversed(node.parts) if isinstance(p, Node)]
     n = len(nodes)
-    chars, linked, marks, words, below, paragraphs, controls = (np.zeros(n) for _ in range(7))
     texts = [""] * n
+    own, linked, marks, words, paragraphs, controls = ([0] * n for _ in range(6))
     for k, node in enumerate(nodes):
         whole, link = [], 0
         for p in node.parts:
@@ -253,48 +291,58 @@ def survey(page: str) -> Tree:
             link += len(piece.strip()) if isinstance(p, tuple) else 0
             whole.append(piece)
         texts[k] = t = " ".join("".join(whole).split())
-        chars[k], linked[k], words[k] = len(t), link, t.count(" ") + bool(t)
-        marks[k] = sum(map(t.count, ".,;!?"))
-        paragraphs[k] = node.tag in ("p", "text", "blockquote", "pre") and len(t) > 0
-        controls[k] = node.tag in ("form", "fieldset", "select", "button", "option")
-    own = chars.copy()
+        if t:
+            own[k], linked[k], words[k] = len(t), link, t.count(" ") + 1
+            marks[k] = sum(map(t.count, ".,;!?"))
+            paragraphs[k] = node.tag in ("p", "text", "blockquote", "pre")
+        controls[k] = node.tag in ("form", "fieldset", "select", "button", "option", "textarea")
+    chars, below = own.copy(), [0] * n
+    children, place, depth = [0] * n, [1] * n, [0] * n
+    kin: dict[tuple, int] = {}
+    for k in range(1, n):
+        up = parents[k]
+        children[up] += 1
+        place[k], depth[k] = children[up], depth[up] + 1
+        kin[up, nodes[k].tag] = kin.get((up, nodes[k].tag), 0) + 1
     for k in range(n - 1, 0, -1):
         up = parents[k]
         for totals in (chars, linked, marks, words, paragraphs, controls):
             totals[up] += totals[k]
         below[up] += below[k] + 1
-    children = np.bincount(np.array(parents[1:], int), minlength=n) if n > 1 else np.zeros(n)
-    rank: dict[int, int] = {}
-    kin: dict[tuple, int] = {}
-    for k in range(1, n):
-        kin[parents[k], nodes[k].tag] = kin.get((parents[k], nodes[k].tag), 0) + 1
-    before, seen = np.zeros(n), 0.0
-    for k in range(n):
-        before[k], seen = seen, seen + own[k]
-    total = max(1.0, chars[0])
-    x = np.zeros((n, N_FEATURES))
-    above = np.zeros((n, len(KINDS)))
+    kinds, tags = np.zeros((n, len(KINDS)), np.float32), np.zeros((n, len(TAGS)), np.float32)
+    above = np.zeros((n, len(KINDS)), np.float32)
     for k, node in enumerate(nodes):
-        up = parents[k]
-        place = rank[up] = rank.get(up, 0) + 1
-        mine = np.zeros(len(KINDS))
-        mine[list(node.kinds)] = 1
-        above[k] = np.maximum(above[up], mine) if up >= 0 else mine
-        tag = node.tag if node.tag in TAGS else "div"
-        depth = x[up, 0] + 1 if up >= 0 else 0
-        x[k, :21] = (
-            depth, place / max(1, children[up] if up >= 0 else 1), kin.get((up, node.tag), 1), np.log1p(children[k]), np.log1p(below[k]),
-            np.log1p(chars[k]), chars[k] / (1 + below[k]), linked[k] / max(1.0, chars[k]), marks[k] / max(1.0, words[k]), words[k] / (1 + below[k]),
-            paragraphs[k] / (1 + below[k]), controls[k], chars[k] / total, before[k] / total, chars[k] / max(1.0, chars[up] if up >= 0 else total),
-            own[k] / max(1.0, chars[k]), node.hidden, np.log1p(paragraphs[k]), linked[up] / max(1.0, chars[up]) if up >= 0 else 0,
-            x[up, 9] if up >= 0 else 0, x[up, 10] if up >= 0 else 0,
-        )
-        x[k, 21 : 21 + len(KINDS)] = mine
-        x[k, 21 + len(KINDS) : 21 + 2 * len(KINDS)] = above[k]
-        x[k, 21 + 2 * len(KINDS) + TAGS.index(tag)] = 1
+        if node.kinds:
+            kinds[k, list(node.kinds)] = 1
+        if k:
+            above[k] = above[parents[k]]
+        if node.kinds:
+            above[k, list(node.kinds)] = 1
+        tags[k, _tag_place.get(node.tag, _tag_place["div"])] = 1
+    up = np.maximum(np.array(parents), 0)
+    inner = np.array(parents) >= 0
+    own, chars, linked, marks, words, paragraphs, controls, below, children = (
+        np.array(v, float) for v in (own, chars, linked, marks, words, paragraphs, controls, below, children)
+    )
+    total = max(1.0, chars[0])
+    nodes_in = 1 + below
+    same = np.array([1] + [kin[parents[k], nodes[k].tag] for k in range(1, n)], float)
+    x = np.concatenate(
+        [
+            np.column_stack([
+                depth, np.array(place) / np.where(inner, np.maximum(1, children[up]), 1), same, np.log1p(children), np.log1p(below),
+                np.log1p(chars), chars / nodes_in, linked / np.maximum(1, chars), marks / np.maximum(1, words), words / nodes_in,
+                paragraphs / nodes_in, controls, chars / total, (np.cumsum(own) - own) / total, chars / np.where(inner, np.maximum(1, chars[up]), total),
+                own / np.maximum(1, chars), [node.hidden for node in nodes], np.log1p(paragraphs), inner * linked[up] / np.maximum(1, chars[up]),
+                inner * (words / nodes_in)[up], inner * (paragraphs / nodes_in)[up],
+            ]).astype(np.float32), kinds, above, tags,
+        ],
+        axis=1,
+    )
     return Tree(nodes, parents, x, texts)
 
 
+_tag_place = {tag: place for place, tag in enumerate(TAGS)}
 N_FEATURES = 21 + 2 * len(KINDS) + len(TAGS)
 
 
@@ -350,8 +398,6 @@ def decode(tree: Tree, likely: np.ndarray) -> list[bool]:
     for k in range(n - 1, -1, -1):
         if tree.texts[k]:
             container[k] += 4 * toss  # text directly in a container is lost
-        if tree.nodes[k].hidden:
-            content[k] = container[k] = -1e6
         if (up := tree.parents[k]) >= 0:
             container[up] += max(container[k], content[k], dropped[k])
             content[up] += max(content[k], dropped[k])
@@ -367,12 +413,22 @@ def decode(tree: Tree, likely: np.ndarray) -> list[bool]:
 def main_texts(pages: list[str | None], forest: Forest) -> list[str]:
     """Of each page the content blocks in order, joined by one space; empty for a null or empty page."""
     out: list[str] = []
-    for start in range(0, len(pages), TOGETHER):
-        trees = [survey(page or "") for page in pages[start : start + TOGETHER]]
-        likely = forest.likely(np.concatenate([t.features for t in trees]))
-        ends = np.cumsum([len(t.nodes) for t in trees])
-        for tree, of in zip(trees, np.split(likely, ends[:-1]), strict=True):
+    waiting: list[Tree] = []
+
+    def judge() -> None:
+        x = np.concatenate([t.features for t in waiting])
+        likely = np.concatenate([forest.likely(x[k : k + TOGETHER]) for k in range(0, len(x), TOGETHER)])
+        ends = np.cumsum([len(t.nodes) for t in waiting])
+        for tree, of in zip(waiting, np.split(likely, ends[:-1]), strict=True):
             out.append(" ".join(t for t, c in zip(tree.texts, decode(tree, of), strict=True) if c and t))
+        waiting.clear()
+
+    for page in pages:
+        waiting.append(survey(page or ""))
+        if sum(len(t.nodes) for t in waiting) >= TOGETHER:
+            judge()
+    if waiting:
+        judge()
     return out
 
 
@@ -401,14 +457,11 @@ _forests: dict[tuple, Forest] = {}
 def train(spark: SparkSession, pages: int = PAGES, seed: int = 11) -> Forest:
     """Trees fitted to the nodes of made-up pages; kept for the life of the driver."""
     if (key := (pages, seed)) not in _forests:
-        rows = []
-        for page in made_pages(pages, seed):
-            tree = survey(page)
-            for label, x in zip(labels(tree), tree.features, strict=True):
-                if label >= 0:
-                    rows.append((float(label), Vectors.dense(x)))
-        data = spark.createDataFrame(rows, ["label", "features"]).coalesce(1).cache()
-        _forests[key] = Forest.of(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, stepSize=0.25).fit(data))
+        trees = [survey(page) for page in made_pages(pages, seed)]
+        label, x = np.concatenate([labels(t) for t in trees]), np.concatenate([t.features for t in trees]).astype(float)
+        known = pa.table({"label": label[label >= 0].astype(float), "x": pa.FixedSizeListArray.from_arrays(x[label >= 0].ravel(), N_FEATURES).cast(pa.list_(pa.float64()))})
+        data = spark.createDataFrame(known).select("label", array_to_vector("x").alias("features")).coalesce(1).cache()
+        _forests[key] = Forest.of(GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, stepSize=STEP).fit(data))
         data.unpersist()
     return _forests[key]
 
@@ -452,6 +505,11 @@ def made_pages(n: int, seed: int) -> Iterator[str]:
             [f"<nav>{body}</nav>", f"<nav{named('main-menu', 'navbar')}>{body}</nav>", f"<div{named('menu', 'nav', 'navigation', 'breadcrumb')}>{body}</div>", f"<div>{loose}</div>", f"<ul{named('nav', 'menu', 'tabs')}>{links(3, 8)}</ul>"]
         )
 
+    def unseen(part: str, chance: float) -> str:
+        """Now and then the part with a mark that browsers do not show it."""
+        mark = draw.choice([" hidden", ' style="display:none"', ' aria-hidden="true"'])
+        return re.sub(r"^<(\w+)", rf"<\1{mark}", part) if draw.random() < chance else part
+
     def head() -> str:
         inside = f"<h2>{words(1, 4)}</h2>" + some([f"<p>{words(3, 9)}</p>", menu()], 0, 2)
         return draw.choice([f"<header>{inside}</header>", f"<div{named('header', 'masthead', 'topbar', 'banner')}>{inside}</div>"])
@@ -505,9 +563,9 @@ def made_pages(n: int, seed: int) -> Iterator[str]:
     def article() -> str:
         inside = draw.choice(["", f"<h1>{words(2, 14)}</h1>"])
         for _ in range(draw.choice([1, 1, 2, 4, 7, 12])):
-            inside += block()
+            inside += unseen(block(), 0.02)
             if draw.random() < 0.12:
-                extra = draw.choice([ad, share, side, form, notice, menu])()
+                extra = unseen(draw.choice([ad, share, side, form, notice, menu])(), 0.2)
                 inside += re.sub(r"^<(\w+)", rf'<\1 {TRUTH}="0"', extra)
         mark = f' {TRUTH}="1"'
         return draw.choice(
@@ -522,12 +580,18 @@ def made_pages(n: int, seed: int) -> Iterator[str]:
         blocks = [re.sub(r"^<(\w+)", rf"<\1{mark}", block()) for _ in range(draw.choice([1, 3, 6]))]
         return "".join(b for b in blocks if b.startswith("<"))
 
+    def outside(parts: list[Callable[[], str]], low: int, high: int) -> str:
+        return "".join(unseen(draw.choice(parts)(), 0.1) for _ in range(draw.randint(low, high)))
+
     for _ in range(n):
         if draw.random() < 0.02:
             yield f'<html {TRUTH}="1"><body>{draw.choice([words(5, 200), article()])}</body></html>'
             continue
-        top = some([menu(), head(), ad(), notice(), form()], 1, 4)
-        low = some([side(), comments(), share(), form(), ad(), notice(), comments()], 0, 3)
+        if draw.random() < 0.04:  # a page, or a piece of one, without an article
+            yield f"<html><body>{outside([menu, menu, head, ad, notice, form, side, share, foot], 1, 4)}</body></html>"
+            continue
+        top = outside([menu, head, ad, notice, form], 1, 4)
+        low = outside([side, comments, share, form, ad, notice, comments], 0, 3)
         body = top + (article() if draw.random() < 0.88 else loose()) + low + draw.choice([foot(), foot(), ""])
         if draw.random() < 0.3:
             body = f"<div{draw.choice(['', named('page', 'wrapper', 'container')])}>{body}</div>"
