@@ -81,8 +81,7 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str, **tokenizer: str) -> DataFrame:
-    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), **(tokenizer or packing.public_tokenizer()))
-    return pieces.drop("ids")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False, **(tokenizer or packing.public_tokenizer()))
 
 
 def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,29 @@ def test_tiers_are_checked():
             packing.Packer(bad)
 
 
-def test_step_groups_are_balanced(spark):
-    rows = packing.pack_documents(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), step_tokens=8192, **packing.public_tokenizer()).toPandas()
-    sequences = rows.drop_duplicates("sequence_id").groupby("step_group")["sequence_tokens"].agg(["sum", "nunique"])
-    assert (sequences["sum"] <= 8192).all() and (sequences["nunique"] == 1).all()
+@pytest.mark.parametrize("tasks", [1, 7])
+def test_step_groups_are_balanced(spark, tasks):
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").repartition(tasks, "doc_id")
+    rows = packing.pack_documents(docs, step_tokens=8192, **packing.public_tokenizer()).toPandas()
+    sequences = rows.drop_duplicates("sequence_id")
+    total = sequences["sequence_tokens"].sum()
+    sums = sequences.groupby("step_group")["sequence_tokens"].sum()
+    assert list(sums.index) == list(range(-(-total // 8192)))
+    assert sums.max() - sums.min() <= 1024 and sums.max() <= 8192 + 1024
+    for _, one in sequences.groupby("sequence_tokens"):
+        held = one["step_group"].value_counts().reindex(sums.index, fill_value=0)
+        assert held.max() - held.min() <= 1
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", " \n", "\t", "\u3000"])
+def test_very_long_blanks(spark, exact, blank):
+    fast = packing.Tokens(**packing.public_tokenizer())
+    for text in (blank * (2_000_000 // len(blank)), "a" + blank * 12_000 + "b. " + blank * 600_000, "x" * 30_000 + blank * 9_999 + "y"):
+        assert list(fast.ids(text)) == exact.exact.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_on_request(spark):
+    docs = awkward.documents(spark)
+    whole, bare = (packing.pack_documents(docs, with_ids=on, **packing.public_tokenizer()) for on in (True, False))
+    assert [f.name for f in whole.schema] == [*[f.name for f in bare.schema], "ids"]
+    assert all(zlib.crc32(r["ids"]) == r["ids_crc32"] and len(r["ids"]) == 4 * r["length"] for r in whole.collect())
