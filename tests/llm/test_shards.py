@@ -34,14 +34,33 @@ def test_every_row_gets_a_place(spark, bucket_bytes):
     assert shards.shuffle_into_shards(awkward.empty(spark), 4).isEmpty()
 
 
-def test_a_row_repeated_through_half_the_table_is_spread(spark, monkeypatch):
-    monkeypatch.setattr(shards, "COPIES", 50)
-    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("doc_id")).withColumn("text", F.when(F.col("doc_id") < 0, "same").otherwise(F.col("doc_id").cast("string")))
-    buckets = shards._shuffled_buckets(docs, "doc_id", "text", 1000, 1).groupBy("bucket").count().agg(F.max("count"), F.count("*")).first()
-    assert buckets[0] < 400 and buckets[1] > 10
+@pytest.mark.parametrize("extra", ["'x'", "map('k', doc_id)"])
+def test_a_row_repeated_through_half_the_table_is_spread(spark, extra):
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(-1)).otherwise(F.col("id")).alias("doc_id"))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") < 0, "same").otherwise(F.col("doc_id").cast("string"))).withColumn("extra", F.expr(extra))
+    buckets = shards._scattered(docs, "doc_id", "text", 1000, 48, 1).groupBy("bucket").count().agg(F.max("count"), F.count("*"), F.sum("count")).first()
+    assert buckets[0] < 400 and buckets[1] > 40 and buckets[2] == 4000
     is_even(shards.shuffle_into_shards(docs, 7, bucket_bytes=1000).collect(), 7)
 
 
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_the_order_follows_from_the_seed_alone(spark, adaptive):
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("doc_id")).withColumn("text", F.col("doc_id").cast("string"))
+    seen = set()
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        for shuffles, parts in ((4, 1), (9, 5), (211, 13)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            rows = shards.shuffle_into_shards(docs.repartition(parts, F.rand(3)), 5, bucket_bytes=2000).collect()
+            is_even(rows, 5)
+            seen.add(tuple(sorted((r["shard"], r["slot"], r["doc_id"]) for r in rows)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
+    assert len(seen) == 1
+
+
 def test_query_by_brute_force(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()}
     rows = catalogue.op6_shards(spark, f"{DATA}/sf0.01").collect()
