@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,12 +109,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_decontam": op9_decontam,
     "op10_quality": op10_quality,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op4_urls": OP4_SQL % ", ".join(map(str, URL_RULES)),
     "op5_chat": chat.ORACLE,
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

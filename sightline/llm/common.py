@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder, as in local tests.
+#: Used only where a local session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: A key with more rows than this, and than a ten-thousandth of all, is dealt to several tasks.
+OFTEN = 1000
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -19,18 +21,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local default when unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
+    """The folder all executors share: spark.checkpoint.dir; on a local master only, a local default when that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or LOCAL_CHECKPOINTS
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back, so that a lost executor costs no recomputation."""
+    """Write `df` to the shared folder and read it back, so that a lost executor costs no recomputation.
+
+    What was written is deleted when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/sightline-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, found: DataFrame, keys: list[str], spread: Column, n_rows: str, how: str = "inner") -> DataFrame:
+    """Join `rows` to `found`, which has each key once, without gathering the rows of a frequent key in one task.
+
+    n_rows: a column of `found` with how many of `rows` have its key, left out of the result.
+    Keys with more than OFTEN rows and more than a ten-thousandth of all
+    (so at most 10,000 keys, which are broadcast) are salted: their rows by
+    `spread`, and what was found is repeated for each salt. `found` is read several
+    times and should be cheap to read. Null keys meet nothing.
+    """
+    salt, salts = (private_name(rows, n) for n in ("salt", "salts"))
+    total = found.agg(F.sum(n_rows)).first()[0] or 0
+    limit = max(OFTEN, total // 10_000)
+    often = found.where(F.col(n_rows) > limit).select(*keys, F.ceil(F.col(n_rows) / limit).cast("int").alias(salts))
+    if often.isEmpty():
+        return rows.join(found.drop(n_rows), keys, how)
+    often = F.broadcast(often)
+    dealt = rows.join(often, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(spread), F.col(salts)).cast("int"), F.lit(0))).drop(salts)
+    repeated = found.drop(n_rows).join(often, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))).drop(salts)
+    return dealt.join(repeated, [*keys, salt], how).drop(salt)
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(column, UPPER, LOWER)

@@ -4,11 +4,13 @@ Listed URLs are kept in canonical form: lower-case host, then the path. A listed
 entry covers its host, every subdomain of it, and every path that starts with
 its own path; the longest entry that covers a URL decides.
 
-A URL is turned into the keys under which it could be listed: each suffix of
-its host that has as many labels as some listed host, with each prefix of its
-path that is as long as some listed path. So the number of keys per URL is
-bounded by the shapes of the list, not by the URL. The keys are probed in the
-Bloom filter, and those that pass are joined to the list itself.
+A listed entry has a shape: the labels of its host and the length of its path. A
+URL is turned into the keys under which it could be listed, one for each shape of
+the list that fits it: that many last labels of its host with that long a front of
+its path. The keys are probed in the Bloom filter, and those that pass are joined
+to the list itself. A URL is looked up once however many rows have it, and the
+answer goes back to them by a join in which frequent URLs are dealt to several
+tasks; rows without a host take no part.
 
 The filter is a table of blocks of eight 32-bit words; a key sets one bit in
 each word of one block. Blocks being rows, the probe is an equi-join on the
@@ -18,16 +20,19 @@ threshold and shuffles when it is not, so the list may be of any size.
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, cut_lineage, join_spread, private_name
 
 WORDS = 8
 #: Keys aimed at per block of 256 bits: about 0.1 % of absent keys pass.
 KEYS_PER_BLOCK = 12
+#: Columns that filter_urls adds.
+ADDED = ("host", "path", "rule", "verdict")
 #: A list up to this many rows is broadcast; its rows are short strings.
 BROADCAST_ROWS = 100_000
 
@@ -77,39 +82,41 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url_column: str = "url", defa
         .agg(F.min("r_verdict").alias("r_verdict"))
         .withColumn("key", F.concat_ws("\u0000", "r_host", "r_path"))
     )
-    shape = listed.agg(
-        F.count("*").alias("n"), F.collect_set(F.size(F.split("r_host", r"\."))).alias("labels"), F.collect_set(F.length("r_path")).alias("lengths")
-    ).first()
-    parsed = urls.withColumns({"host": host_of(F.col(url_column)), "path": path_of(F.col(url_column))})
+    columns = [c for c in urls.columns if c.lower() not in ADDED]
+    parsed = urls.select(*columns, host_of(F.col(url_column)).alias("host"), path_of(F.col(url_column)).alias("path"))
     nothing = {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}
-    if not shape["n"]:
+    shapes = listed.groupBy(F.size(F.split("r_host", r"\.")).alias("labels"), F.length("r_path").alias("length")).agg(F.count("*").alias("n")).collect()
+    n = sum(s["n"] for s in shapes)
+    if not n:
         return parsed.withColumns(nothing)
-    blocks = max(1, -(-shape["n"] // KEYS_PER_BLOCK))
-    small = shape["n"] <= BROADCAST_ROWS
+    blocks = max(1, -(-n // KEYS_PER_BLOCK))
+    small = n <= BROADCAST_ROWS
 
-    # The same (host, path) is looked up once, however many rows have it.
-    distinct = parsed.select(F.col("host").alias("u_host"), F.col("path").alias("u_path")).distinct()
-    keys = distinct.select("u_host", "u_path", F.explode(_candidates(shape["labels"], shape["lengths"])).alias("key"))
+    # Nothing but host and path here, so that no column of `urls` can be in the way.
+    with_host = parsed.where(F.col("host") != "")
+    asked = with_host.select("host", "path").groupBy("host", "path").agg(F.count("*").alias("n_rows"))
+    keys = asked.select("*", F.explode(_candidates([(s["labels"], s["length"]) for s in shapes])).alias("key"))
     probe = keys.withColumn("block", _block(F.col("key"), blocks))
     filter_rows = bloom_blocks(listed.select("key"), blocks)
     possible = probe.join(F.broadcast(filter_rows) if small else filter_rows, "block")
     passed = reduce(lambda a, b: a & b, [F.col(f"w{i}").bitwiseAND(mask) != 0 for i, mask in enumerate(_masks(F.col("key")))])
-    exact = possible.where(passed).select("u_host", "u_path", "key").join(F.broadcast(listed) if small else listed, "key")
-    longest = exact.groupBy("u_host", "u_path").agg(
-        F.max(F.struct(F.length("r_host") + F.length("r_path"), "r_host", "r_path", "r_verdict")).alias("best")
-    )
-    return (
-        parsed.join(longest, (F.col("host") == F.col("u_host")) & (F.col("path") == F.col("u_path")), "left")
-        .withColumns({"rule": F.concat("best.r_host", "best.r_path"), "verdict": F.coalesce("best.r_verdict", F.lit(default))})
-        .drop("u_host", "u_path", "best")
+    exact = possible.where(passed).select("host", "path", "n_rows", "key").join(F.broadcast(listed) if small else listed, "key")
+    best = F.max(F.struct(F.length("r_host") + F.length("r_path"), "r_host", "r_path", "r_verdict")).alias("best")
+    longest = exact.groupBy("host", "path").agg(best, F.first("n_rows").alias("n_rows"))
+    rule, verdict, count = (private_name(parsed, name) for name in ("found_rule", "found_verdict", "found_rows"))
+    found = cut_lineage(longest.select("host", "path", F.concat("best.r_host", "best.r_path").alias(rule), F.col("best.r_verdict").alias(verdict), F.col("n_rows").alias(count)))
+    judged = join_spread(with_host, found, ["host", "path"], F.monotonically_increasing_id(), count, "left").select(
+        *columns, "host", "path", F.col(rule).alias("rule"), F.coalesce(verdict, F.lit(default)).alias("verdict")
     )
+    return judged.unionByName(parsed.where(F.col("host") == "").withColumns(nothing))
+
+
+def _candidates(shapes: list[tuple[int, int]]) -> Column:
+    """The keys under which (host, path) could be listed, one for each shape that fits."""
+    kinds = F.from_json(F.lit(json.dumps([{"labels": a, "length": b} for a, b in sorted(shapes)])), "array<struct<labels:int,length:int>>")
+    has, long = F.size(F.split("host", r"\.")), F.length("path")
 
+    def key(shape: Column) -> Column:
+        return F.concat_ws("\u0000", F.call_function("substring_index", F.col("host"), F.lit("."), -shape["labels"]), F.substring(F.col("path"), F.lit(1), shape["length"]))
 
-def _candidates(labels: list[int], lengths: list[int]) -> Column:
-    """All keys under which (u_host, u_path) could be listed."""
-    host, path = F.col("u_host"), F.col("u_path")
-    has = F.size(F.split(host, r"\."))
-    suffixes = [F.when(has >= n, F.substring_index(host, ".", -n)) for n in sorted(labels)]
-    prefixes = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in sorted(lengths)]
-    pairs = [F.when(s.isNotNull() & p.isNotNull(), F.concat_ws("\u0000", s, p)) for s in suffixes for p in prefixes]
-    return F.array_compact(F.array(*pairs))
+    return F.transform(F.filter(kinds, lambda s: (s["labels"] <= has) & (s["length"] <= long)), key)

@@ -51,3 +51,19 @@ def test_no_conversation_is_lost_among_equal_ones(spark):
 def test_null_conversation_id(spark):
     frame = spark.createDataFrame([(None, 1, "user", "a"), (1, 1, "user", "b")], SCHEMA)
     assert chat.render(chat.maximal_conversations(frame)).count() == 2
+
+
+def test_turns_without_a_conversation_stand_alone(spark):
+    rows = [
+        (None, 1, "user", "a"), (None, 2, "user", "a"), (1, 1, "user", "a"), (None, 1, "user", "b"), (2, 1, "user", "b"), (2, 2, "bot", "y"), (None, 3, "user", "c"), (None, None, None, None), (None, 4, "user", "c"),
+    ]
+    kept = chat.render(chat.maximal_conversations(spark.createDataFrame(rows, SCHEMA))).collect()
+    assert sorted((r["conv_id"] or 0, r["n_turns"], r["rendered"]) for r in kept) == [
+        (0, 1, "<|user|>\nc\n"), (0, 1, "<||>\n\n"), (1, 1, "<|user|>\na\n"), (2, 2, "<|user|>\nb\n<|bot|>\ny\n"),
+    ]
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    db.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(map(str, db.execute(chat.ORACLE).fetchall())) == sorted(str((r["conv_id"], r["n_turns"], r["rendered"])) for r in kept)

@@ -21,8 +21,10 @@ def test_one_row_for_each_document(spark, name):
 
 
 def test_every_operator_has_one_query():
-    numbers = [int(n.split("_")[0][2:]) for n in catalogue.QUERIES if n.startswith("op")]
-    assert numbers == list(range(1, 11)) and "pipeline" in catalogue.QUERIES
+    import __spark_entry__
+
+    numbers = [int(n.split("_")[0][2:]) for n in catalogue.QUERIES]
+    assert numbers == list(range(1, 11)) and {*catalogue.QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 
 
 def test_nothing_outside_imports_the_package():

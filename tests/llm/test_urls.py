@@ -59,3 +59,17 @@ def test_a_large_list_by_brute_force(spark):
         host, _, path = u[7:].partition("/")
         fits = [h + p for h, p, _ in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
         assert got[i]["rule"] == (max(fits, key=len) if fits else None)
+
+
+def test_clashing_columns_and_frequent_urls(spark, monkeypatch):
+    from sightline.llm import common
+
+    monkeypatch.setattr(common, "OFTEN", 20)
+    names = "best u_host u_path r_host key block salt salts n_rows found_rule found_rows host RULE w0".split()
+    found = ["http://a.com/en/1"] * 500 + [None] * 500 + [f"http://{i}.com/x" for i in range(50)] + ["http://b.org/"] * 100
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(found)], "page_id long, url string").withColumns({n: F.lit("mine") for n in names}).repartition(6)
+    rows = urls.filter_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string")).collect()
+    assert len(rows) == len(found) and sorted(r["page_id"] for r in rows) == list(range(len(found)))
+    assert all(r[n] == "mine" for r in rows for n in names if n not in ("host", "RULE"))
+    for r in rows:
+        assert r["rule"] == {"http://a.com/en/1": "com/en/", "http://b.org/": "b.org"}.get(found[r["page_id"]])
