@@ -42,19 +42,21 @@ def compute(
         raise ValueError(f"process must be one of {PROCESSES}")
     if settings.neighbourhood and best_source is None and segments_path:
         raise ValueError("keeping only the best viewsheds wants an earlier heatmap as source")
-    wanted = interest.inside(F.col("dem_id"), settings.width, aoi_polygon(aoi or [], settings))
+    area = aoi_polygon(aoi or [], settings)
+    cells = dem.sparkSession.range(settings.width**2).select(F.col("id").alias("dem_id"))
+    wanted = cells.where(in_central_square(F.col("dem_id"), settings.width) & interest.inside(F.col("dem_id"), settings.width, area)) if area else None
     surfaces = None
     if process == "all":
-        surfaces = kernel.surfaces(dem, settings).where(wanted)
+        surfaces = kernel.surfaces(dem, settings, observers=wanted)
         sinks.save_heatmaps(surfaces, settings, output, heatmap, images)
     if segments_path:
-        found = kernel.segments(dem, settings).where(wanted)
         near = None
         if settings.neighbourhood:
             ranked = best_source.withColumn("dem_id", dem_id_of(F.col("tvs_id"), settings.width))
-            found = segments.whitelisted(found, aggregate.best_in_neighbourhoods(ranked, settings, settings.neighbourhood, by="value"))
+            best = aggregate.best_in_neighbourhoods(ranked, settings, settings.neighbourhood, by="value").select("dem_id")
+            wanted = best.join(wanted, "dem_id", "left_semi") if wanted is not None else best
             near = neighbourhood_id(F.col("dem_id"), settings.width, settings.neighbourhood)
-        sinks.save_segments(segments.stored(found, near), settings, segments_path)
+        sinks.save_segments(segments.stored(kernel.segments(dem, settings, observers=wanted), near), settings, segments_path)
     return surfaces
 
 
@@ -69,19 +71,10 @@ def viewshed(spark: SparkSession, path: str, lon: float, lat: float, output: str
     if not here["ok"]:
         raise ValueError("the point lies outside the cells that can be computed")
     found = segments.lookup(rows, **({"neighbourhood_id": here["near"]} if settings.neighbourhood else {"dem_id": here["dem_id"]}))
-    shapes = polygons.viewshed_polygons(segments.decoded(found), settings).orderBy("polygon_id").collect()  # one observer
+    shapes = polygons.geojson_rows(polygons.in_degrees(polygons.viewshed_polygons(segments.decoded(found), settings), settings)).first()  # one observer
     if not shapes:
         raise ValueError("nothing is stored for that point")
-    pov = shapes[0]["dem_id"]
-    half = (settings.width - 1) / 2
-    east, north = (pov % settings.width - half) * settings.scale, (half - pov // settings.width) * settings.scale
-    anchor = tuple(float(v[0]) for v in geodesy.inverse(np.array([east]), np.array([north]), *settings.centre))
-
-    def degrees(ring) -> list[list[float]]:
-        lons, lats = geodesy.inverse(np.array([p["x"] for p in ring]), np.array([p["y"] for p in ring]), *anchor)
-        return [[float(a), float(b)] for a, b in zip(lons, lats, strict=True)]
-
-    text = polygons.geojson([{"exterior": degrees(s["exterior"]), "interiors": [degrees(h) for h in s["interiors"]]} for s in shapes])
+    text = shapes["geojson"]
     if output:
         sinks.save_geojson(text, output, lon, lat)
     return text
@@ -107,6 +100,11 @@ def main(arguments: list[str] | None = None) -> None:
     v.add_argument("path")
     v.add_argument("output")
     v.add_argument("coords", type=geodesy.parse_lonlat, nargs="+")
+    for name in ("export-sqlite", "import-sqlite"):
+        x = commands.add_parser(name)
+        x.add_argument("path")
+        x.add_argument("target")
+        x.add_argument("--shards", type=int, default=1)
     p = commands.add_parser("post-process")
     p.add_argument("path")
     p.add_argument("target")
@@ -121,6 +119,11 @@ def main(arguments: list[str] | None = None) -> None:
     elif a.command == "viewshed":
         for lon, lat in a.coords:
             viewshed(spark, a.path, lon, lat, a.output)
+    elif a.command == "export-sqlite":
+        sinks.export_sqlite(spark.read.parquet(f"{a.path}/polar_segments"), settings_of(spark.read.parquet(f"{a.path}/metadata")), a.target, a.shards)
+    elif a.command == "import-sqlite":
+        rows, meta = sinks.import_sqlite(spark, a.path)
+        sinks.save_segments(rows, settings_of(meta), a.target)
     else:
         sinks.optimise_layout(spark, a.path, a.target)
 

@@ -85,28 +85,35 @@ def inverse(x: np.ndarray, y: np.ndarray, lon0: float, lat0: float) -> tuple[np.
     return (lon + 180) % 360 - 180, np.degrees(lat)
 
 
-def to_metres(lon: Column, lat: Column, lon0: float, lat0: float) -> Column:
-    """struct(x, y)"""
+Anchor = float | Column
+
+
+def _column(value: Anchor) -> Column:
+    return value if isinstance(value, Column) else F.lit(float(value))
+
+
+def to_metres(lon: Column, lat: Column, lon0: Anchor, lat0: Anchor) -> Column:
+    """struct(x, y) about an anchor, one for all rows or each row its own."""
 
     @F.pandas_udf("x double, y double")
-    def projected(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for lons, lats in batches:
-            x, y = forward(lons.to_numpy(float), lats.to_numpy(float), lon0, lat0)
+    def projected(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = forward(*(c.to_numpy(float) for c in batch))
             yield pd.DataFrame({"x": x, "y": y})
 
-    return projected(lon, lat)
+    return projected(lon, lat, _column(lon0), _column(lat0))
 
 
-def to_degrees(x: Column, y: Column, lon0: float, lat0: float) -> Column:
-    """struct(lon, lat)"""
+def to_degrees(x: Column, y: Column, lon0: Anchor, lat0: Anchor) -> Column:
+    """struct(lon, lat) about an anchor, one for all rows or each row its own."""
 
     @F.pandas_udf("lon double, lat double")
-    def unprojected(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for xs, ys in batches:
-            lon, lat = inverse(xs.to_numpy(float), ys.to_numpy(float), lon0, lat0)
+    def unprojected(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lon, lat = inverse(*(c.to_numpy(float) for c in batch))
             yield pd.DataFrame({"lon": lon, "lat": lat})
 
-    return unprojected(x, y)
+    return unprojected(x, y, _column(lon0), _column(lat0))
 
 
 def grid_position(x: Column, y: Column, width: int, scale: float) -> tuple[Column, Column]:

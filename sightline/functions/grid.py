@@ -41,6 +41,12 @@ def dem_id_of(tvs: Column, width: int) -> Column:
     return ((F.floor(tvs / reach) + reach) * width + tvs % reach + reach).cast("long")
 
 
+def turned(x: Column, y: Column, degrees: float) -> tuple[Column, Column]:
+    """A point turned counter-clockwise about the origin, y up."""
+    cos, sin = F.lit(math.cos(math.radians(degrees))), F.lit(math.sin(math.radians(degrees)))
+    return x * cos - y * sin, x * sin + y * cos
+
+
 def nearest_cell(x: Column, y: Column, width: int) -> Column:
     """The id of the cell nearest to fractional grid coordinates."""
     return (away_from_zero(y) * width + away_from_zero(x)).cast("long")

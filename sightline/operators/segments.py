@@ -79,12 +79,21 @@ def contacts(segments: DataFrame, angles: int, wrap: bool = False) -> DataFrame:
 
     Columns: dem_id, angle_id, start, distance, and next_start, next_distance of
     the segment on the angle after. With `wrap` only the pairs of the last angle
-    and the first, otherwise only the others. One equi-join on observer and angle.
+    and the first, otherwise only the others. `segments` is read once: each goes to
+    its own angle and to the one before, where the two lists meet; a list has no
+    more segments than half the reach.
     """
-    ahead = segments.select("dem_id", ((F.col("angle_id") - 1 + angles) % angles).alias("angle_id"), F.col("start").alias("next_start"), F.col("distance").alias("next_distance"))
+    run = F.struct("start", "distance")
+    places = F.array(F.struct(F.col("angle_id").alias("angle_id"), run.alias("here")), F.struct(((F.col("angle_id") - 1 + angles) % angles).alias("angle_id"), F.lit(None).cast("struct<start:int,distance:int>").alias("here")))
+    dealt = segments.where("distance > 0").select("dem_id", run.alias("run"), F.explode(places).alias("at")).select("dem_id", "at.angle_id", "at.here", "run")
     side = F.col("angle_id") == angles - 1 if wrap else F.col("angle_id") < angles - 1
-    overlap = (F.col("start") < F.col("next_start") + F.col("next_distance")) & (F.col("next_start") < F.col("start") + F.col("distance"))
-    return segments.join(ahead, ["dem_id", "angle_id"]).where(side & overlap).select("dem_id", "angle_id", "start", "distance", "next_start", "next_distance")
+    met = dealt.where(side).groupBy("dem_id", "angle_id").agg(F.collect_list("here").alias("here"), F.collect_list(F.when(F.col("here").isNull(), F.col("run"))).alias("ahead"))
+
+    def touching(h: Column) -> Column:
+        overlap = F.filter("ahead", lambda n: (h["start"] < n["start"] + n["distance"]) & (n["start"] < h["start"] + h["distance"]))
+        return F.transform(overlap, lambda n: F.struct(h["start"].alias("start"), h["distance"].alias("distance"), n["start"].alias("next_start"), n["distance"].alias("next_distance")))
+
+    return met.select("dem_id", "angle_id", F.inline(F.flatten(F.transform("here", touching))))
 
 
 def area(segments: DataFrame, angles: int, scale: float) -> DataFrame:

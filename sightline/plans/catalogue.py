@@ -224,7 +224,7 @@ def neighbourhood_best(spark, sf_dir):
     return _best(spark, sf_dir)
 
 
-_KEPT = oracle.segments(PLAIN).replace("segs as", "segs as materialized") + "," + oracle.dense(PLAIN)[len(oracle.visibility(PLAIN)) + 2 :] + f",\n{_BEST}"
+_KEPT = oracle.segments(PLAIN) + "," + oracle.dense(PLAIN)[len(oracle.visibility(PLAIN)) + 2 :] + f",\n{_BEST}"
 
 
 @register(oracle.query(_KEPT, "select dem_id, angle_id, start, distance from segs where dem_id in (select dem_id from best where place = 1)"))
@@ -292,7 +292,7 @@ def segment_wrap_contacts(spark, sf_dir):
     return segments.contacts(_segments(spark, sf_dir), PLAIN.angles, wrap=True)
 
 
-@register()
+@register(oracle.query(oracle.components(PLAIN), "select dem_id, components from groups"))
 def viewshed_components(spark, sf_dir):
     return polygons.component_counts(_segments(spark, sf_dir), PLAIN.angles)
 
@@ -302,7 +302,21 @@ def viewshed_polygons(spark, sf_dir):
     return polygons.viewshed_polygons(_segments(spark, sf_dir), PLAIN)
 
 
-_CORNER = "round({0} * cos({1}), 6) as {2}x, round({0} * sin({1}), 6) as {2}y"
+@register(
+    oracle.query(
+        oracle.components(PLAIN) + ",\nareas as (select dem_id, round(sum((start + distance) ** 2 - start ** 2) * sin(pi() / 180) / 2, 4) as area from segs group by dem_id)",
+        "select dem_id, components::bigint as polygons, area from groups join areas using (dem_id)",
+    )
+)
+def viewshed_polygon_totals(spark, sf_dir):
+    made = polygons.viewshed_polygons(_segments(spark, sf_dir), PLAIN)
+    return made.groupBy("dem_id").agg(F.count("*").alias("polygons"), F.round(F.sum("area"), 4).alias("area"))
+
+
+@register("select 0::bigint as problems")
+def viewshed_ring_problems(spark, sf_dir):
+    found = polygons.invalid_rings(polygons.viewshed_polygons(_segments(spark, sf_dir), PLAIN))
+    return found.agg(F.count("*").alias("problems"))
 
 
 @register(
@@ -399,7 +413,11 @@ def _metres() -> tuple:
     return (grid.column_of(dem_id, PLAIN.width) - middle) * CELL, (middle - grid.row_of(dem_id, PLAIN.width)) * CELL
 
 
-@register()
+_METRES = f"metres as (select range as dem_id, (range % 48 - 23.5::double) * {CELL} as east, (23.5::double - range // 48) * {CELL} as north from range(2304))"
+_DEGREES = f"{_METRES},\n" + oracle.geodesic("metres", "placed", f"{ANCHOR[0]}::double", f"{ANCHOR[1]}::double", "east", "north")
+
+
+@register(oracle.query(_DEGREES, "select dem_id, round(lon, 9) as lon, round(lat, 9) as lat from placed"))
 def geodesy_inverse(spark, sf_dir):
     at = geodesy.to_degrees(*_metres(), *ANCHOR)
     return _dem(spark, sf_dir).select("dem_id", at.alias("at")).select("dem_id", F.round("at.lon", 9).alias("lon"), F.round("at.lat", 9).alias("lat"))
@@ -411,3 +429,43 @@ def geodesy_forward(spark, sf_dir):
     there = _dem(spark, sf_dir).select("dem_id", geodesy.to_degrees(*_metres(), *ANCHOR).alias("at"))
     back = there.select("dem_id", geodesy.to_metres(F.col("at.lon"), F.col("at.lat"), *ANCHOR).alias("m"))
     return back.select("dem_id", (F.round("m.x", 5) + F.lit(0.0)).alias("x"), (F.round("m.y", 5) + F.lit(0.0)).alias("y"))
+
+
+#: The grid of the queries that give longitudes and latitudes.
+PLACED = Settings(48, scale=CELL, centre=ANCHOR)
+_HALF = {"a": ("start", "+"), "b": ("start", "-"), "c": ("(start + distance)", "-"), "d": ("(start + distance)", "+")}
+_CORNERS = ", ".join(f"({r} * {CELL} * cos(radians(angle_id {o} 0.5::double)), {r} * {CELL} * sin(radians(angle_id {o} 0.5::double)))" for r, o in _HALF.values())
+_BOUNDS = ",\n".join(
+    [
+        oracle.segments(PLACED), _DEGREES,
+        "corners as (select dem_id, lon as lon0, lat as lat0, unnest([" + _CORNERS.replace("(start * ", "struct_pack(x := start * ").replace("((start + distance) * ", "struct_pack(x := (start + distance) * ").replace(", start *", ", y := start *").replace(", (start + distance) *", ", y := (start + distance) *") + "]) as p"
+        " from segs join placed using (dem_id) where distance > 0)",
+        "points as (select dem_id, lon0, lat0, p.x as x, p.y as y from corners)",
+        oracle.geodesic("points", "seen_at", "lon0", "lat0", "x", "y"),
+    ]
+)
+
+
+def _placed_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kernel.segments(_dem(spark, sf_dir, PLACED), PLACED)
+    return polygons.in_degrees(polygons.viewshed_polygons(found, PLACED), PLACED)
+
+
+@register(oracle.query(_BOUNDS, "select dem_id, round(min(lon), 8) as west, round(min(lat), 8) as south, round(max(lon), 8) as east, round(max(lat), 8) as north from seen_at group by dem_id"))
+def viewshed_bounds(spark, sf_dir):
+    """The corners of the box about each observer's viewshed, in degrees."""
+    x, y = F.transform("exterior", lambda p: p["x"]), F.transform("exterior", lambda p: p["y"])
+    ends = {"west": F.array_min(x), "south": F.array_min(y), "east": F.array_max(x), "north": F.array_max(y)}
+    each = _placed_polygons(spark, sf_dir).select("dem_id", *[e.alias(n) for n, e in ends.items()])
+    return each.groupBy("dem_id").agg(*[F.round(f(n), 8).alias(n) for f, n in ((F.min, "west"), (F.min, "south"), (F.max, "east"), (F.max, "north"))])
+
+
+@register()
+def viewshed_geojson(spark, sf_dir):
+    return polygons.geojson_rows(_placed_polygons(spark, sf_dir))
+
+
+@register(oracle.query(oracle.surfaces(PLAIN, None, "p.dem_id % 48 between 19 and 28 and p.dem_id // 48 between 18 and 27"), "select dem_id, sum_k, longest_k, longest_angle from surfaces join longest using (dem_id)"))
+def aoi_kernel_surfaces(spark, sf_dir):
+    wanted = spark.range(PLAIN.width**2).select(F.col("id").alias("dem_id")).where(interest.inside(F.col("dem_id"), PLAIN.width, AREA))
+    return kernel.surfaces(_dem(spark, sf_dir), PLAIN, observers=wanted)

@@ -71,15 +71,15 @@ views as (select p.dem_id, p.angle_id, p.line, p.pos, k, d,
 
 def visibility(s: Settings, ids: list[int] | None = None, observers: str = "true") -> str:
     return f"""{slopes(s, ids, observers)},
-seen as (select dem_id, angle_id, k, d,
+seen as materialized (select dem_id, angle_id, k, d,
                 slope > greatest(coalesce(max(slope) over (partition by angle_id, line, pos order by k rows between unbounded preceding and 1 preceding), -2000::float), -2000::float) as visible
          from views)"""
 
 
 def segments(s: Settings, ids: list[int] | None = None, observers: str = "true") -> str:
     return f"""{visibility(s, ids, observers)},
-marked as (select *, k - row_number() over (partition by dem_id, angle_id order by k) as run from seen where visible),
-segs as (select dem_id, angle_id, cast(min(k) - 1 as integer) as start, cast(count(*) as integer) as distance from marked group by dem_id, angle_id, run
+marked as (select dem_id, angle_id, k, k - row_number() over (partition by dem_id, angle_id order by k) as run from seen where visible),
+segs as materialized (select dem_id, angle_id, cast(min(k) - 1 as integer) as start, cast(count(*) as integer) as distance from marked group by dem_id, angle_id, run
          union all select dem_id, angle_id, 0, 0 from seen where k = 1 and not visible)"""
 
 
@@ -107,5 +107,53 @@ dense as (select cast(tvs_id as integer) as tvs_id, t.dem_id, coalesce(sum_k, 0)
           from third t left join surfaces using (dem_id))"""
 
 
+def components(s: Settings, rounds: int = 10) -> str:
+    """groups: of every observer the number of groups of segments that overlap on neighbouring angles.
+
+    Each round every segment, and the one it points to, points on to the least that
+    its neighbours' pointers point to. The rounds more than suffice: twice as many change nothing.
+    """
+    ctes = [
+        f"""{segments(s)},
+runs as materialized (select dem_id, angle_id, start, start + distance as stop, dem_id * 33554432 + angle_id * 65536 + start as node from segs where distance > 0),
+pairs as (select a.node as a, b.node as b from runs a join runs b on a.dem_id = b.dem_id and b.angle_id = (a.angle_id + 1) % {s.angles}
+          where a.start < b.stop and b.start < a.stop),
+links as materialized (select a, b from pairs union all select b, a from pairs),
+f0 as materialized (select node, node as f from runs)"""
+    ]
+    for i in range(rounds):
+        ctes.append(f"""g{i} as materialized (select x.node, x.f, y.f as g from f{i} x join f{i} y on y.node = x.f),
+e{i} as materialized (select u.f as fu, l.a as u, v.g as gv from links l join g{i} u on u.node = l.a join g{i} v on v.node = l.b),
+f{i + 1} as materialized (select node, min(f) as f from (select node, g as f from g{i} union all select fu, gv from e{i} union all select u, gv from e{i}) group by node)""")
+    ctes.append(f"groups as (select node // 33554432 as dem_id, cast(count(distinct f) as integer) as components from f{rounds} group by 1)")
+    return ",\n".join(ctes)
+
+
+#: WGS84: half the major axis in metres, and the square of the eccentricity.
+MAJOR, SQUARE = 6_378_137.0, 2 / 298.257223563 - 1 / 298.257223563**2
+
+
+def geodesic(source: str, name: str, lon0: str, lat0: str, east: str, north: str, steps: int = 4) -> str:
+    """`name`: the rows of `source` with lon and lat, where the geodesic through (lon0, lat0) ends; its equations are integrated in steps (Runge-Kutta)."""
+    sine = f"(1 - {SQUARE!r}::double * sin({{0}}) ** 2)"
+    slope = (
+        f"cos({{1}}) * {sine} ** 1.5::double / ({MAJOR!r}::double * (1 - {SQUARE!r}::double))", f"sin({{1}}) * sqrt{sine} / ({MAJOR!r}::double * cos({{0}}))", f"sin({{1}}) * tan({{0}}) * sqrt{sine} / {MAJOR!r}::double",
+    )
+    own = "phi, lam, turn, h"
+    ctes = [f"{name}_0 as (select *, radians({lat0}) as phi, radians({lon0}) as lam, atan2({east}, {north}) as turn, sqrt(({east}) ** 2 + ({north}) ** 2) / {steps} as h from {source})"]
+    for i in range(steps):
+        last = f"{name}_{i}"
+        for k, share in enumerate((0.0, 0.5, 0.5, 1.0), start=1):
+            at = ("phi", "turn") if k == 1 else (f"(phi + h * {share}::double * p{k - 1})", f"(turn + h * {share}::double * t{k - 1})")
+            made = ", ".join(f"{f.format(*at)} as {n}{k}" for n, f in zip("plt", slope, strict=True))
+            ctes.append(f"{name}_{i}{'abcd'[k - 1]} as (select *, {made} from {last})")
+            last = f"{name}_{i}{'abcd'[k - 1]}"
+        moved = ", ".join(f"{v} + h / 6 * ({n}1 + 2 * {n}2 + 2 * {n}3 + {n}4) as {v}" for v, n in (("phi", "p"), ("lam", "l"), ("turn", "t")))
+        gone = ", ".join(f"{n}{k}" for n in "plt" for k in range(1, 5))
+        ctes.append(f"{name}_{i + 1} as (select * exclude ({own}, {gone}), {moved}, h from {last})")
+    ctes.append(f"{name} as (select * exclude ({own}), degrees(lam) as lon, degrees(phi) as lat from {name}_{steps})")
+    return ",\n".join(ctes)
+
+
 def query(ctes: str, select: str) -> str:
     return f"with {ctes}\n{select}"

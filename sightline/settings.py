@@ -32,6 +32,8 @@ class Settings:
             raise ValueError("subdivisions must be in 1..100")
         if self.neighbourhood is not None and (self.neighbourhood < 1 or math.isqrt(self.neighbourhood) ** 2 != self.neighbourhood):
             raise ValueError("a neighbourhood must be a perfect square")
+        if self.neighbourhood is not None and self.width % math.isqrt(self.neighbourhood):
+            raise ValueError("the side of a neighbourhood must divide the width")
         if self.scale <= 0:
             raise ValueError("the scale must be positive")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from ..operators.polygons import _inside
@@ -37,3 +38,25 @@ def raster(polygons: list[dict], width: int, extent: float) -> list[str]:
     cells += [[False] * width] * (width % 2)
     glyphs = {(False, False): " ", (True, False): "▀", (False, True): "▄", (True, True): "█"}
     return ["".join(glyphs[top, low] for top, low in zip(a, b, strict=True)) for a, b in zip(cells[::2], cells[1::2], strict=True)]
+
+
+def outlines(polygons: list[dict], width: int, at: tuple[float, float] = (0.0, 0.0), zoom: int = 2) -> list[str]:
+    """The rings of polygons as lines of blanks on a full ground, `zoom` points to a cell.
+
+    Polygons are in cells, y up, about an observer in column and row `at`. Half-block
+    characters show two rows of points each.
+    """
+    size = width * zoom
+    drawn = [[False] * size for _ in range(size + size % 2)]
+
+    def point(p: tuple[float, float]) -> tuple[int, int]:
+        return tuple(int(math.copysign(math.floor(abs(v) + 0.5), v)) for v in ((at[0] + p[0]) * zoom, (at[1] - p[1]) * zoom))
+
+    for polygon in polygons:
+        for ring in [polygon["exterior"], *polygon["interiors"]]:
+            for a, b in zip(ring, ring[1:], strict=False):
+                for x, y in bresenham(point(a), point(b)):
+                    if 0 <= x < size and 0 <= y < size:
+                        drawn[y][x] = True
+    glyphs = {(False, False): "█", (False, True): "▀", (True, False): "▄", (True, True): " "}
+    return ["".join(glyphs[top, low] for top, low in zip(a, b, strict=True)) for a, b in zip(drawn[::2], drawn[1::2], strict=True)]

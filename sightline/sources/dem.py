@@ -26,7 +26,8 @@ class DemReader(DataSourceReader):
         self.path, self.header = path, tiff.read_header(path)
 
     def partitions(self) -> list[Band]:
-        rows = max(1, BAND_CELLS // self.header.width)
+        high = self.header.block[1] if self.header.block[1] < self.header.height else 1
+        rows = max(1, BAND_CELLS // self.header.width // high) * high  # whole strips or tiles
         return [Band(a, min(a + rows, self.header.height)) for a in range(0, self.header.height, rows)]
 
     def read(self, partition: Band) -> Iterator[pa.RecordBatch]:
@@ -61,14 +62,15 @@ def read_dem(spark: SparkSession, path: str, **settings) -> tuple[DataFrame, Set
 def read_heatmap(spark: SparkSession, path: str) -> DataFrame:
     """(tvs_id, value) of an existing heatmap of the central third, as a source of neighbourhood bests."""
     header = tiff.read_header(path)
-    ids = spark.range(header.height).select(F.col("id").cast("int").alias("row"))
+    high = header.block[1]
+    ids = spark.range(0, header.height, high).select(F.col("id").cast("int").alias("row"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.column(0).to_pylist():
-                (values,) = tiff.read_rows(path, header, row, row + 1)
-                at = np.arange(row * header.width, (row + 1) * header.width, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(values.astype(np.float32))], names=["tvs_id", "value"])
+            for first in batch.column(0).to_pylist():
+                for row, values in enumerate(tiff.read_rows(path, header, first, min(first + high, header.height)), first):
+                    at = np.arange(row * header.width, (row + 1) * header.width, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(values.astype(np.float32))], names=["tvs_id", "value"])
 
     return ids.mapInArrow(rows, "tvs_id long, value float")
 

@@ -105,3 +105,42 @@ def test_rings(spark):
     expected = [(4.7009093, 3.2867496), (4.7132504, 3.2990907), (5.4265009, 2.5981815), (5.4018185, 2.5734991)]
     got = {(round(p["x"] + 4, 5), round(4 - p["y"], 5)) for p in ring}
     assert got == {(round(x, 5), round(y, 5)) for x, y in expected} and ring[0] == ring[-1]
+
+
+def test_points_and_ids_from_coordinates(spark):
+    # A point a kilometre east and north of the base.
+    lon, lat = -2.573510680530247, 51.463487311585936
+    row = spark.range(1).select(
+        geodesy.to_metres(F.lit(lon), F.lit(lat), *BASE).alias("m"), geodesy.to_degrees(F.lit(1000.0), F.lit(1000.0), *BASE).alias("d"),
+        geodesy.lonlat_to_dem_id(F.lit(lon), F.lit(lat), 60, 100.0, BASE).alias("id"), geodesy.metres_per_degree(F.lit(60.0)).alias("long"),
+        geodesy.dem_id_to_lonlat(F.lit(60 * 20 + 40), 60, 100.0, BASE).alias("back"),
+        *[c.alias(n) for c, n in zip(geodesy.grid_position(F.lit(1000.0), F.lit(1000.0), 60, 100.0), ("column", "row"), strict=True)],
+        grid.nearest_cell(F.lit(2.5), F.lit(1.4), 12).alias("cell"), *[c.alias(n) for c, n in zip(grid.turned(F.lit(2.0), F.lit(1.0), 90.0), ("tx", "ty"), strict=True)],
+    ).first()
+    assert (row["m"]["x"], row["m"]["y"]) == pytest.approx((1000, 1000), abs=1e-6)
+    assert (row["d"]["lon"], row["d"]["lat"]) == pytest.approx((lon, lat), abs=1e-12)
+    assert (row["column"], row["row"]) == pytest.approx((39.5, 19.5))
+    assert row["id"] == 20 * 60 + 40 and row["cell"] == 12 + 3
+    assert row["long"] == pytest.approx(111319.49079 / 2, rel=1e-9)
+    x, y = geodesy.forward(np.array([row["back"]["lon"]]), np.array([row["back"]["lat"]]), *BASE)
+    assert (x[0], y[0]) == pytest.approx((950, 1050), abs=1e-6)
+    assert (row["tx"], row["ty"]) == pytest.approx((-1, 2))
+
+
+def test_anchors_may_differ_by_row(spark):
+    rows = spark.createDataFrame([(10.0, -20.0, 5.0, 50.0), (10.0, -20.0, -70.0, -30.0)], "x double, y double, lon0 double, lat0 double")
+    there = rows.withColumn("d", geodesy.to_degrees(F.col("x"), F.col("y"), F.col("lon0"), F.col("lat0")))
+    back = there.select("lon0", "d", geodesy.to_metres(F.col("d.lon"), F.col("d.lat"), F.col("lon0"), F.col("lat0")).alias("m")).collect()
+    assert all((r["m"]["x"], r["m"]["y"]) == pytest.approx((10, -20), abs=1e-6) and abs(r["d"]["lon"] - r["lon0"]) < 0.01 for r in back)
+
+
+def test_moving_the_anchor():
+    x, y = geodesy.reanchored(np.array([0.0, 500.0]), np.array([0.0, 0.0]), BASE, BASE)
+    assert np.abs(x - [0, 500]).max() < 1e-6 and np.abs(y).max() < 1e-6
+    lon, lat = geodesy.inverse(np.array([1000.0]), np.array([1000.0]), *BASE)
+    x, y = geodesy.reanchored(np.array([1000.0]), np.array([1000.0]), BASE, (lon[0], lat[0]))
+    assert abs(x[0]) < 1e-6 and abs(y[0]) < 1e-6
+
+
+def test_projection_strings():
+    assert geodesy.projection_strings(-2.5, 51.0) == ("+proj=latlong +datum=WGS84", "+proj=aeqd +lat_0=51.0 +lon_0=-2.5 +units=m +datum=WGS84 +no_defs +over")

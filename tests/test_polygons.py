@@ -10,8 +10,14 @@ from sightline.settings import Settings
 from sightline.sources.ascii import bresenham, raster
 
 
-def built(lists):
-    return p.assemble({i: [(s, s + n) for s, n in runs] for i, runs in enumerate(lists)}, len(lists))
+@pytest.fixture(scope="module")
+def built(spark):
+    def made(lists):
+        views = spark.createDataFrame([(1, [[(s, n) for s, n in runs] for runs in lists])], "dem_id long, angles array<array<struct<start:int,distance:int>>>")
+        rows = p.polygons_of_arrays(views, len(lists)).orderBy("polygon_id").collect()
+        return [{"exterior": [tuple(c) for c in r["exterior"]], "interiors": [[tuple(c) for c in h] for h in r["interiors"]]} for r in rows]
+
+    return made
 
 
 @pytest.mark.parametrize(
@@ -27,7 +33,7 @@ def built(lists):
         ([[]] * 5, []),
     ],
 )
-def test_shapes(lists, holes):
+def test_shapes(built, lists, holes):
     made = built(lists)
     assert [len(x["interiors"]) for x in made] == holes
     for x in made:
@@ -35,7 +41,7 @@ def test_shapes(lists, holes):
 
 
 @pytest.mark.parametrize("seed", range(12))
-def test_polygons_have_the_area_of_their_segments_and_are_the_components(spark, seed):
+def test_polygons_have_the_area_of_their_segments_and_are_the_components(spark, built, seed):
     draw = random.Random(seed)
     n = draw.choice([12, 24, 36])
     lists = []
@@ -63,13 +69,16 @@ def test_viewshed_rows(spark):
     assert {r["dem_id"]: r["ring_sum"] for r in area(rows, 360, 10.0).collect()} == {7: 360 * 16, 8: 4}
 
 
-def test_geojson_is_a_multipolygon():
-    text = json.loads(p.geojson(built([[(2, 2)]] * 10)))
+def test_geojson_is_a_multipolygon(spark):
+    rows = spark.createDataFrame([(65, a, 2, 2) for a in range(360)], "dem_id long, angle_id int, start int, distance int")
+    s = Settings(12, scale=1000.0, centre=(-2.5, 51.4))
+    text = json.loads(p.geojson_rows(p.in_degrees(p.viewshed_polygons(rows, s), s)).first()["geojson"])
     (shape,) = text["features"]
+    assert all(abs(x + 2.5) < 0.1 and abs(y - 51.4) < 0.1 for ring in shape["geometry"]["coordinates"][0] for x, y in ring)
     assert shape["geometry"]["type"] == "MultiPolygon" and len(shape["geometry"]["coordinates"][0]) == 2
 
 
-def test_raster_of_a_ring():
+def test_raster_of_a_ring(built):
     art = raster(built([[(2, 2)]] * 60), 16, 4.0)
     assert len(art) == 8 and art[4][8] == " " and art[4][1] != " " and art[0][0] == " "
 
@@ -77,3 +86,32 @@ def test_raster_of_a_ring():
 def test_line_raster():
     assert list(bresenham((0, 0), (3, 1))) == [(0, 0), (1, 0), (2, 1), (3, 1)]
     assert list(bresenham((2, 2), (2, 0))) == [(2, 2), (2, 1), (2, 0)]
+
+
+def test_packed_arrays_and_flat_rings(spark):
+    runs = [[(0, 4)], [(0, 4)], [(2, 1)], [(0, 4)], [(0, 4)]]
+    packed = spark.createDataFrame([(1, [[s << 16 | n for s, n in r] for r in runs])], "dem_id long, angles array<array<long>>")
+    plain = spark.createDataFrame([(1, runs)], "dem_id long, angles array<array<struct<start:int,distance:int>>>")
+    one, two = (p.polygons_of_arrays(v, 5) for v in (packed, plain))
+    assert one.collect() == two.collect()
+    flat, whole = p.flattened_rings(two).first(), two.first()
+    assert flat["exterior"] == [v for c in whole["exterior"] for v in c]
+    assert flat["interiors"] == [v for h in whole["interiors"] for c in h for v in c] and flat["hole_indices"] == [0]
+    twice = p.flattened_rings(two.selectExpr("dem_id", "polygon_id", "exterior", "concat(interiors, interiors) as interiors")).first()
+    assert twice["hole_indices"] == [0, len(flat["interiors"])]
+
+
+def test_ring_problems(spark):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
+    assert p.ring_problems(square) == [] and p.ring_problems(square[::-1], hole=True) == []
+    assert p.ring_problems(square, hole=True) == p.ring_problems(square[::-1]) == ["wrong direction"]
+    assert p.ring_problems([]) == ["empty"]
+    assert p.ring_problems(square[:-1]) == ["not closed"]
+    assert p.ring_problems(square[:2] + square[:1]) == ["too few corners"]
+    assert "repeated corner" in p.ring_problems([square[0], *square])
+    assert "edges cross" in p.ring_problems([(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 1.0), (0.0, 0.0)])
+    assert p.ring_problems([(float("nan"), 0.0)] * 5) == ["not finite"]
+    # Two triangles that touch in a corner are one sound ring.
+    assert "edges cross" not in p.ring_problems([(0.0, 0.0), (1.0, -1.0), (1.0, 1.0), (0.0, 0.0), (-1.0, 1.0), (-1.0, -1.0), (0.0, 0.0)])
+    rows = spark.createDataFrame([(7, 0, square[::-1], [square])], f"dem_id long, polygon_id int, exterior {p.RING}, interiors array<{p.RING}>")
+    assert [(r["ring"], r["problem"]) for r in p.invalid_rings(rows).collect()] == [(0, "wrong direction"), (1, "wrong direction")]

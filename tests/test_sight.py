@@ -111,3 +111,32 @@ def test_no_data_takes_the_height_before_it(spark):
 def test_settings_are_checked(bad):
     with pytest.raises(ValueError):
         Settings(**bad)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_both_paths_agree_on_random_grids(spark, seed, monkeypatch):
+    import random
+
+    draw = random.Random(seed)
+    width = draw.choice([9, 15, 24])
+    heights = [draw.choice([N, draw.randint(-50, 400)]) if draw.random() < 0.1 else draw.randint(0, 60) for _ in range(width * width)]
+    s = Settings(width, scale=draw.choice([1.0, 30.0]), refraction=draw.choice([0.13, -1e5]), subdivisions=draw.choice([1, 2]))
+    angles = sorted(draw.sample(range(s.angles), 40))
+    dem = grid_from_values(spark, heights).cache()
+    seen = sight.visibility(dem, s, angles).cache()
+    if seed % 2:
+        monkeypatch.setattr(kernel, "GRID_BYTES", 0)  # the way of grids too large to send
+    made, wanted = kernel.segments(dem, s, angles), segments.polar_segments(seen)
+    assert made.exceptAll(wanted).isEmpty() and wanted.exceptAll(made).isEmpty()
+    sums = kernel.surfaces(dem, s, angles).select("dem_id", "sum_k", "longest_k", "longest_angle")
+    best = seen.where("visible").groupBy("dem_id").agg(F.sum("k").alias("sum_k"))
+    expected = best.join(aggregate.longest_lines(seen), "dem_id").select("dem_id", "sum_k", "longest_k", "longest_angle")
+    got, want = ({r["dem_id"]: tuple(r)[1:] for r in rows.collect()} for rows in (sums.where("sum_k > 0"), expected))
+    assert got == want
+    some = dem.where("dem_id % 3 = 0").select("dem_id")
+    assert {r["dem_id"]: tuple(r)[1:] for r in kernel.surfaces(dem, s, angles, some).where("sum_k > 0").collect()} == {k: v for k, v in want.items() if k % 3 == 0}
+
+
+def test_a_neighbourhood_must_fit():
+    with pytest.raises(ValueError):
+        Settings(12, neighbourhood=25)
