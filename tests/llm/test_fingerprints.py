@@ -1,6 +1,9 @@
 import hashlib
+import random
+import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sightline.llm import fingerprints as f
@@ -13,15 +16,79 @@ def texts(spark, *rows):
     return spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
 
 
+def signed(n):
+    return n - (1 << 64) if n >> 63 else n
+
+
+def hashed(text, seed=42):
+    return xxhash.xxh64_intdigest(text.encode(), seed)
+
+
+def spans(paragraph):
+    """The spans of a paragraph, word by word."""
+    out = ""
+    for word in re.findall(f.WORD, paragraph, re.A):
+        if len(word) > f.LONG_WORD:
+            for before, c in zip(" " + word, word):
+                out += c + f.END * (signed(hashed(c, hashed(before))) % f.PIECE == 0)
+        else:
+            out += word + f.END * (signed(hashed(word.rstrip(" "))) % f.SPAN_WORDS == 0)
+    return [x for piece in out.split(f.END) for x in re.findall(f.SPAN, piece, re.A)]
+
+
+def node(text):
+    return hashlib.sha256(text.encode()).hexdigest()[: f.NODE]
+
+
+def tree(text):
+    """[(node, [(node, leaves), ...]), ...]"""
+    out = []
+    for section in re.split(f.SECTION_END, text):
+        paragraphs = []
+        for p in section.split("\n"):
+            leaves = [signed(hashed(x)) for x in spans(p)]
+            # The seed that goes on from hashing the number one.
+            other = [signed(hashed(x, xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42))) for x in spans(p)]
+            paragraphs.append((node(".".join(map(str, leaves + other))), leaves))
+        out.append((node("".join(n for n, _ in paragraphs)), paragraphs))
+    return out
+
+
+def root(t):
+    return hashlib.sha256("".join(n for n, _ in t).encode()).hexdigest()
+
+
+def printed(t):
+    levels = [root(t)]
+    for nodes in ([n for n, _ in t], [n for _, ps in t for n, _ in ps]):
+        groups = {d: sorted(n for n in nodes if n[0] == d) for d in "0123456789abcdef"}
+        levels.append(".".join(d + hashlib.sha256("".join(g).encode()).hexdigest()[:8] for d, g in groups.items() if g))
+    return ":".join(levels)
+
+
+def likeness(a, b):
+    alike = 0
+    sides = [dict(a), dict(b)]
+    common = sides[0].keys() & sides[1].keys()
+    alike += sum(2 * sum(len(leaves) for _, leaves in sides[0][n]) for n in common)
+    sides = [{n: leaves for s, ps in side.items() if s not in common for n, leaves in ps} for side in sides]
+    common = sides[0].keys() & sides[1].keys()
+    alike += sum(2 * len(sides[0][n]) for n in common)
+    left, right = ({x for n, leaves in side.items() if n not in common for x in leaves} for side in sides)
+    whole = alike + len(left) + len(right)
+    return (alike + 2 * len(left & right)) / whole if whole else 1.0
+
+
 def expected(rows):
-    """doc_id -> (n, sha of the edited text), by brute force."""
+    """The whole report by brute force."""
     rows = sorted(((d if d is not None else -(2**63)), t or "", d) for d, t in rows)
     out = []
     for i, (_, text, d) in enumerate(rows):
         half = len(text) // 2
         follow = rows[(i + 1) % len(rows)][1]
         changed = text[: len(text) - half] + follow[:half]
-        out.append((d, len(text), hashlib.sha256(changed.encode()).hexdigest()))
+        mine, theirs, after = tree(text), tree(changed), tree(follow)
+        out.append((d, len(text), hashlib.sha256(changed.encode()).hexdigest(), printed(mine), printed(theirs), round(likeness(mine, theirs), 12), round(likeness(mine, after), 12)))
     return out
 
 
@@ -29,11 +96,35 @@ def key(row):
     return str(row)
 
 
+def reported(docs):
+    return [(*tuple(r)[:5], round(r["near_edited"], 12), round(r["near_next"], 12)) for r in f.edit_report(docs).collect()]
+
+
 @pytest.mark.parametrize("which", ["awkward", "crowded", "sf0.001"])
 def test_report_by_brute_force(spark, which):
     docs = {"awkward": awkward.documents, "crowded": awkward.crowded}.get(which, lambda s: s.read.parquet(f"{DATA}/sf0.001/documents.parquet"))(spark)
-    got = [(r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in f.edit_report(docs).collect()]
-    assert sorted(got, key=key) == sorted(expected([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]), key=key)
+    assert sorted(reported(docs), key=key) == sorted(expected([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]), key=key)
+
+
+def test_odd_texts_by_brute_force(spark):
+    draw = random.Random(2)
+    odd = ["漢字仮名" * 300, "漢字仮名" * 299 + "終", "a" * 5000, "ab\x00cd " * 40, "\n\n\n", " \t\x0b\u3000x\r\n y", "😀" * 70, "".join(draw.choices("ab \n", k=3000)), "http://" + "".join(draw.choices("abcdef/.", k=900))]
+    docs = texts(spark, *odd)
+    assert sorted(reported(docs), key=key) == sorted(expected(list(enumerate(odd))), key=key)
+
+
+def test_texts_without_blanks_are_compared_in_pieces(spark):
+    draw = random.Random(4)
+    for letters in ("abcdefghijklmnop", "".join(map(chr, range(0x4E00, 0x5200)))):
+        long, other = ("".join(draw.choices(letters, k=2000)) for _ in range(2))
+        rows = {r["doc_id"]: r for r in f.edit_report(texts(spark, long, long[:-5] + other[:5], other)).collect()}
+        assert rows[0]["near_next"] > 0.95 and 0.4 < rows[0]["near_edited"] < 1 and 0.4 < rows[1]["near_edited"] < 0.6
+
+
+def test_a_fingerprint_is_bounded(spark):
+    text = "\n\n".join(f"section {i}\nline of it {i}" for i in range(3000))
+    row = f.edit_report(texts(spark, text, "short")).where("doc_id = 0").first()
+    assert len(row["fingerprint"]) <= 64 + 2 * (1 + 16 * 10)
 
 
 def test_equal_texts_have_equal_fingerprints_and_others_do_not(spark):
@@ -55,7 +146,7 @@ def test_one_row_follows_itself_and_none_gives_none(spark):
 
 
 def test_differing_branches_locate_an_edit(spark):
-    pair = texts(spark, "one\ntwo\n\nthree\nfour", "one\ntwo\n\nthree\nFOUR").select("doc_id", f.tree(F.col("text")).alias("t"))
+    pair = texts(spark, "one\ntwo\n\nthree\nfour", "one\ntwo\n\nthree\nFOUR").select("doc_id", f.sections(F.col("text")).alias("t"))
     joined = pair.where("doc_id = 0").select(F.col("t").alias("a")).crossJoin(pair.where("doc_id = 1").select(F.col("t").alias("b")))
     where = joined.select(f.differing(F.col("a"), F.col("b")).alias("d"), f.differing(F.col("a"), F.col("a")).alias("same")).first()
     assert [tuple(x) for x in where["d"]] == [(1, 2)] and where["same"] == []
