@@ -1,24 +1,22 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
 Texts are lower-cased (A-Z) and cut into words. A window is a run of `window`
-consecutive words of a benchmark text; a shorter text is one window. All
-windows go into one automaton, which scans a document's words once and reports
-every occurrence. Hits are kept as word ranges, and mapped back to character
-offsets of the original text on request.
-
-The automaton is built from at most `block_bytes` of windows. A larger
-benchmark is split into several blocks, each scanned in its own narrow pass
-over the documents that adds to the ranges of the passes before. Nothing is
-left out, and no pass shuffles.
+consecutive words of a benchmark text; a shorter text is one window. Windows
+are made and freed of repeats by Spark. All go into one automaton over words,
+which scans the words of a document once and reports every occurrence. Hits are
+given as word ranges and as ranges of characters of the original text.
+
+The automaton is built from at most about `block_bytes` of windows. A larger
+benchmark is dealt by hash into several blocks, each scanned in its own narrow
+pass over the documents that adds to the ranges of the passes before. Nothing is
+left out, and no pass shuffles documents.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -26,12 +24,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 WINDOW = 10
-#: Bytes of windows in one automaton; it takes about 40 times that in a worker.
-BLOCK_BYTES = 4 << 20
+#: Bytes of windows in one automaton; it takes about ten times that in a worker.
+BLOCK_BYTES = 16 << 20
+#: Columns that find_leaks adds.
+ADDED = ("n_words", "hit_ranges", "hit_chars", "leaked_items")
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_built: dict[str, ahocorasick.Automaton] = {}
+_built: dict[str, Scanner] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,54 +48,57 @@ def windows_of(text: str | None, window: int = WINDOW) -> set[bytes]:
     return {b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, window: int, block_bytes: int) -> Iterator[dict[str, list[str]]]:
-    """Windows with the ids of their items, in blocks of bounded size."""
-    spread = items.where(F.col(text).isNotNull()).select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")), text)
-    found: dict[str, list[str]] = {}
-    size = 0
-    for ident, body in spread.toLocalIterator():
-        for key in windows_of(body, window):
-            owners = found.setdefault(key.decode("latin-1"), [])
-            size += len(key) + 16 if not owners else 16
-            if ident not in owners:
-                owners.append(ident)
-        if size > block_bytes:
-            yield found
-            found, size = {}, 0
-    if found:
-        yield found
-
-
-def _automaton(block: Broadcast) -> ahocorasick.Automaton | None:
+def benchmark_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
+    """(window, items): each distinct window with the ids, as strings, of the items that have it; null ids name none."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(key, ident) for ident, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for key in windows_of(body, window)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.string())], names=["window", "item"])
+
+    each = items.select(F.col(item_id).cast("string"), F.col(text)).mapInArrow(made, "window binary, item string")
+    return each.groupBy("window").agg(F.collect_set("item").alias("items"))
+
+
+def _blocks(windows: DataFrame, block_bytes: int) -> Iterator[list[tuple[bytes, list[str]]]]:
+    """The windows in blocks of about `block_bytes`, one after another."""
+    held = windows.agg(F.sum(F.octet_length("window") + 16 * (1 + F.size("items"))).alias("bytes"), F.count("*").alias("n")).first()
+    blocks = min(held["n"], -(-(held["bytes"] or 0) // block_bytes))
+    for k in range(blocks):
+        some = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
+        yield [(bytes(r["window"]), r["items"]) for r in some.collect()]  # about block_bytes
+
+
+class Scanner:
+    """One automaton over the words of all windows of a block."""
+
+    def __init__(self, block: list[tuple[bytes, list[str]]]):
+        self.ids: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, owners in block:
+            words = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in key.split(b" "))
+            self.automaton.add_word(words, (len(words), owners))
+        self.automaton.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """The word ranges [from, to) of all occurrences, and the ids of the items that occur."""
+        ranges, owners = [], set()
+        known = self.ids.get
+        for end, (n, items) in self.automaton.iter(tuple([known(w, 0) for w in words])):
+            ranges.append((end + 1 - n, end + 1))
+            owners.update(items)
+        return merged(ranges), owners
+
+
+def _scanner(block: Broadcast) -> Scanner | None:
     """Built once in each worker; None without windows."""
     name, found = block.value
     if found and name not in _built:
         _built.clear()
-        made = ahocorasick.Automaton()
-        for key, owners in found.items():
-            made.add_word(f" {key} ", (key.count(" ") + 1, len(key) + 2, owners))
-        made.make_automaton()
-        _built[name] = made
+        _built[name] = Scanner(found)
     return _built.get(name)
 
 
-def scan(text: str | None, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, the word ranges [from, to) of all occurrences, and the ids of the items that occur."""
-    words = words_of(text)
-    if not words:
-        return 0, [], set()
-    line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    starts: list[int] = []
-    ranges, owners = [], set()
-    for end, (n, length, items) in automaton.iter(line):
-        if not starts:
-            starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-        first = bisect_right(starts, end - length + 1) - 1
-        ranges.append((first, first + n))
-        owners.update(items)
-    return len(words), merged(ranges), owners
-
-
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of half-open ranges, in order."""
     out: list[tuple[int, int]] = []
@@ -114,48 +119,55 @@ def char_ranges(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int
 def find_leaks(
     documents: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
-    """Every row of `documents` with n_words, hit_ranges (array of [from, to) word ranges) and leaked_items (sorted).
+    """Every row of `documents` with n_words, hit_ranges and hit_chars (arrays of [from, to) in words and in characters of the text) and leaked_items (sorted).
 
     Null and wordless texts have no words and no hits; items without words are
-    in no window. Repeated documents and items count each by themselves; equal
+    in no window. Windows of an item without an id are found like others, but
+    name no item. Repeated documents and items count each by themselves; equal
     windows of several items report all of them. Columns of `documents` named
-    like the three new ones are replaced. With an empty benchmark nothing is hit.
+    like the new ones, in any case, are replaced. With an empty benchmark nothing is hit.
     """
     sc = documents.sparkSession.sparkContext
-    columns = [c for c in documents.columns if c not in ("n_words", "hit_ranges", "leaked_items")]
-    out = documents.select(
-        *columns, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("hit_ranges"), F.array().cast("array<string>").alias("leaked_items")
-    )
+    columns = [c for c in documents.columns if c.lower() not in ADDED or c == text]
+    ranges = F.array().cast("array<array<int>>")
+    out = documents.select(*columns, F.lit(0).cast("long").alias("n_words"), ranges.alias("hit_ranges"), ranges.alias("hit_chars"), F.array().cast("array<string>").alias("leaked_items"))
+    windows = cut_lineage(benchmark_windows(benchmark, item_id, item_text, window))
+    place = out.columns.index(text)
     first = True
-    for found in _blocks(benchmark, item_id, item_text, window, block_bytes):
-        out = _pass(out, sc.broadcast((uuid.uuid4().hex, found)), text)
+    for found in _blocks(windows, block_bytes):
+        out = _pass(out, sc.broadcast((uuid.uuid4().hex, found)), place)
         first = False
-    return _pass(out, sc.broadcast(("", {})), text) if first else out
+    return _pass(out, sc.broadcast(("", [])), place) if first else out
+
 
+def _pass(documents: DataFrame, block: Broadcast, text: int) -> DataFrame:
+    """Add what a block's windows hit to the last four columns; `text` is the place of the text."""
 
-def _pass(documents: DataFrame, block: Broadcast, text: str) -> DataFrame:
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(block)
+        scanner = _scanner(block)
         for batch in batches:
-            n_words, hits, leaked = [], [], []
-            old = zip(batch[text], batch["hit_ranges"], batch["leaked_items"], strict=True)
-            for body, had, ids in old:
-                n, ranges, owners = scan(body.as_py(), automaton) if automaton else (len(words_of(body.as_py())), [], set())
-                n_words.append(n)
-                hits.append(merged([*map(tuple, had.as_py()), *ranges]))
-                leaked.append(sorted({*ids.as_py(), *owners}))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            for name, values in (("n_words", n_words), ("hit_ranges", hits), ("leaked_items", leaked)):
-                columns[name] = pa.array(values, batch.schema.field(name).type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+            rows = []
+            old = zip(batch.column(text), *batch.columns[-3:], strict=True)
+            for body, had, chars, ids in old:
+                body = body.as_py()
+                words = words_of(body)
+                ranges, owners = scanner.scan(words) if scanner and words else ([], ())
+                if not ranges:
+                    rows.append((len(words), had.as_py(), chars.as_py(), ids.as_py()))
+                    continue
+                ranges = merged([*map(tuple, had.as_py()), *ranges])
+                rows.append((len(words), ranges, char_ranges(body, ranges), sorted({*ids.as_py(), *owners})))
+            fields = list(batch.schema)[-4:]
+            new = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *new], schema=batch.schema)
 
     return documents.mapInArrow(scanned, documents.schema)
 
 
 def leak_digest(leaks: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated from the rows of `find_leaks`."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and hit_chars from the rows of `find_leaks`."""
     hit = F.aggregate("hit_ranges", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
     return leaks.select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size("leaked_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("leaked_items", ","), 256).alias("items_sha256"), (F.size("hit_ranges") > 0).alias("contaminated"),
+        F.sha2(F.array_join("leaked_items", ","), 256).alias("items_sha256"), (F.size("hit_ranges") > 0).alias("contaminated"), "hit_chars",
     )
