@@ -51,12 +51,11 @@ def join_spread(rows: DataFrame, found: DataFrame, keys: list[str], spread: Colu
     times and should be cheap to read. Null keys meet nothing.
     """
     salt, salts = (private_name(rows, n) for n in ("salt", "salts"))
-    total = found.agg(F.sum(n_rows)).first()[0] or 0
-    limit = max(OFTEN, total // 10_000)
-    often = found.where(F.col(n_rows) > limit).select(*keys, F.ceil(F.col(n_rows) / limit).cast("int").alias(salts))
-    if often.isEmpty():
+    held = found.agg(F.sum(n_rows).alias("total"), F.max(n_rows).alias("most")).first()
+    limit = max(OFTEN, (held["total"] or 0) // 10_000)
+    if (held["most"] or 0) <= limit:
         return rows.join(found.drop(n_rows), keys, how)
-    often = F.broadcast(often)
+    often = F.broadcast(found.where(F.col(n_rows) > limit).select(*keys, F.ceil(F.col(n_rows) / limit).cast("int").alias(salts)))
     dealt = rows.join(often, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(spread), F.col(salts)).cast("int"), F.lit(0))).drop(salts)
     repeated = found.drop(n_rows).join(often, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(salts), F.lit(1)) - 1))).drop(salts)
     return dealt.join(repeated, [*keys, salt], how).drop(salt)

@@ -8,12 +8,19 @@
    documents share); they are taken only after all others, unless they make up
    most of a sketch. Two sets of similarity s have no key in common with
    probability (1 - s)^KEYS at most: about 1e-10 for 0.85.
-3. Lists with the same first member merge into a canopy. A canopy larger than
-   `BLOCK` is compared in pairs of blocks, so that no task holds more than two.
-4. In each canopy the union sketches estimate similarities. Classes with no
-   estimate near the threshold leave.
-5. The rest are compared exactly, on full sets, in the same canopies. Of the
-   links of a pair of blocks only a spanning forest is kept: links grow with the
+3. Lists with the same first member merge into a canopy. Canopies larger than a
+   block, in documents or in shingles, first lose what is settled: everyone is
+   compared with one member, the pivot; those linked to it need not be compared
+   among themselves, as they are in one component. The others go on to a next
+   pivot, for ROUNDS rounds, so that a group of many copies costs as much as it has
+   members. Distance (1 less similarity) is a metric: who is farther from the pivot
+   than twice the threshold's distance has no link to those settled with it; the
+   nearer ones are compared with them.
+4. What is left is compared in pairs of blocks, so that no task holds more than
+   two. In each the union sketches estimate similarities. Classes with no estimate
+   near the threshold leave.
+5. The rest are compared exactly, on full sets, in the same blocks. Of the links of
+   a pair of blocks only a spanning forest is kept: links grow with the
    documents, not with their pairs.
 6. Components come from alternating star contractions over the links.
 """
@@ -21,6 +28,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +36,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, join_spread
 
 SKETCH = 48
 KEYS = 12
 COMMON = 64
 BLOCK = 256
+#: Shingles that a block should hold at most (8 bytes each); a larger set is a block by itself.
+BLOCK_SHINGLES = 1 << 20
+#: Pivots taken one after another in canopies larger than a block.
+ROUNDS = 4
 #: How far an estimate may fall short of the threshold: over four standard deviations.
 SLACK = 0.28
 #: Columns of a dense comparison that are multiplied at once.
@@ -87,38 +99,126 @@ def sketches(documents: DataFrame, width: int, doc_id: str, text: str) -> DataFr
 
 
 def canopies(classes: DataFrame) -> DataFrame:
-    """(leader, doc_id, i, j): the pairs of blocks of each canopy, and who is in them."""
-    keyed = classes.select("doc_id", "sketch", F.size("sketch").alias("n"))
+    """(leader, doc_id, n): who is in each canopy; n is the size of the set. The leader, the least doc_id, is one of them."""
+    keyed = classes.select("doc_id", "n", "sketch", F.size("sketch").alias("held"))
     front = keyed.select("doc_id", F.explode(F.slice("sketch", 1, KEYS + 4)).alias("value"))
     common = front.groupBy("value").count().where(F.col("count") > COMMON).select("value")
     touched = front.join(common, "value", "left_semi").select("doc_id").distinct()
-    plain = keyed.join(touched, "doc_id", "left_anti").select("doc_id", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))
+    plain = keyed.join(touched, "doc_id", "left_anti").select("doc_id", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))
     # Sketches that hold common values: take the others first.
-    values = keyed.join(touched, "doc_id", "left_semi").select("doc_id", "n", F.posexplode("sketch").alias("place", "value"))
+    values = keyed.join(touched, "doc_id", "left_semi").select("doc_id", "n", "held", F.posexplode("sketch").alias("place", "value"))
     marked = values.join(common.withColumn("common", F.lit(1)), "value", "left")
     ordered = marked.groupBy("doc_id").agg(
-        F.first("n").alias("n"),
+        F.first("n").alias("n"), F.first("held").alias("held"),
         F.slice(F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.struct("place", "value")))), 1, KEYS)["value"].alias("rare"),
         F.slice(F.sort_array(F.collect_list(F.struct("place", "value"))), 1, KEYS)["value"].alias("least"),
         F.count("common").alias("n_common"),
-    )
-    mostly = F.col("n_common") * 2 > F.col("n")
-    chosen = ordered.select(
-        "doc_id", F.explode(F.when(mostly, F.array_union("rare", "least")).otherwise(F.col("rare"))).alias("value")
-    )
+    )
+    mostly = F.col("n_common") * 2 > F.col("held")
+    chosen = ordered.select("doc_id", "n", F.explode(F.when(mostly, F.array_union("rare", "least")).otherwise(F.col("rare"))).alias("value"))
     postings = plain.unionByName(chosen)
-    leaders = postings.groupBy("value").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where(F.col("n") > 1)
-    members = postings.join(leaders.select("value", "leader"), "value").select("leader", "doc_id").distinct()
-    blocks = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "leader").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.select("leader", "doc_id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    leaders = postings.groupBy("value").agg(F.min("doc_id").alias("leader"), F.count("*").alias("listed")).where("listed > 1")
+    return join_spread(postings, cut_lineage(leaders), ["value"], F.col("doc_id"), "listed").groupBy("leader", "doc_id").agg(F.max("n").alias("n"))
+
+
+def in_blocks(members: DataFrame, by: list[str]) -> DataFrame:
+    """Add `blocks`, into how many blocks a group is dealt, and `own`, which one a member is in."""
+    size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    sizes = members.groupBy(*by).agg(F.ceil(size).cast("int").alias("blocks"), F.count("*").alias("held"))
+    dealt = join_spread(members, cut_lineage(sizes), by, F.col("doc_id"), "held")
+    return dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+
+
+PLACE = ("leader", "doc_id", "own", "i", "j")
+
+
+def compared(members: DataFrame, documents: Callable[[DataFrame], DataFrame], sketched: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What blocks to compare, as rows of PLACE, and the links (a, b) that pivots settled.
+
+    documents: gives the full sets (doc_id, n, values) of the documents named. sketched: (doc_id, n, values) of all.
+    """
+    least = percent / 100
+    dealt = cut_lineage(in_blocks(members, ["leader"]))
+    places = [dealt.where("blocks = 1").select("leader", "doc_id", "own", F.lit(0).alias("i"), F.lit(0).alias("j"))]
+    links: list[DataFrame] = []
+    left = dealt.where("blocks > 1").drop("own", "blocks")
+    for turn in range(1, ROUNDS + 1):
+        if left.isEmpty():
+            break
+        left = cut_lineage(in_blocks(left, ["leader"]))
+        pivots = cut_lineage(left.groupBy("leader").agg(F.min("doc_id").alias("pivot"), F.first("blocks").alias("blocks")))
+        everywhere = pivots.select("leader", F.col("pivot").alias("doc_id"), F.lit(0).alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"))
+        others = left.join(pivots.select("leader", F.col("pivot").alias("doc_id")), ["leader", "doc_id"], "left_anti").select("leader", "doc_id", F.lit(1).alias("own"), F.col("own").alias("i"), F.lit(0).alias("j"), "n")
+        star = everywhere.unionByName(others.drop("n"))
+        guessed = cut_lineage(by_group(star.join(sketched, "doc_id"), _to_pivot, "leader long, doc_id long, own int, i int, j int, guess double"))
+        near = guessed.where(F.col("guess") >= least - SLACK).drop("guess")
+        asked = near.unionByName(everywhere.join(near.select("leader", "i").distinct(), ["leader", "i"], "left_semi"))
+        settled = cut_lineage(by_group(asked.join(documents(asked.select("doc_id").distinct()), "doc_id"), _linked_to_pivot(percent), "leader long, doc_id long, pivot long, whole int"))
+        links.append(settled.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+        settled = settled.where("whole = 1")
+        rest = others.join(settled.select("leader", "doc_id"), ["leader", "doc_id"], "left_anti").join(guessed.select("leader", "doc_id", "guess"), ["leader", "doc_id"])
+        rest = cut_lineage(rest.select("leader", "doc_id", "n", "guess"))
+        # Across: the settled (side 1) with those not too far from the pivot (side 0).
+        reach = rest.where(F.col("guess") >= 2 * least - 1 - SLACK).select("leader", "doc_id", "n", F.lit(0).alias("side"))
+        held = others.join(settled.select("leader", "doc_id"), ["leader", "doc_id"], "left_semi").select("leader", "doc_id", "n", F.lit(1).alias("side"))
+        places.append(_across(reach.unionByName(held.join(reach.select("leader").distinct(), "leader", "left_semi")), turn))
+        left = rest.drop("guess")
+    if links:
+        dealt = cut_lineage(in_blocks(left, ["leader"]))
+        other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        places.append(other.select("leader", "doc_id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
+    return reduce(DataFrame.unionByName, places), links
+
+
+def _across(members: DataFrame, turn: int) -> DataFrame:
+    """Rows of PLACE that bring each block of side 0 together with each of side 1; `turn` keeps them apart from other blocks."""
+    dealt = cut_lineage(in_blocks(members, ["leader", "side"]))
+    counts = dealt.groupBy("leader", F.pmod(F.col("side") + 1, F.lit(2)).alias("side")).agg(F.first("blocks").alias("opposite"))
+    met = dealt.join(counts, ["leader", "side"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("opposite") - 1)))
+    mine, first = F.col("side") == 0, turn << 24
+    return met.select(
+        "leader", "doc_id", F.col("side").alias("own"),
+        (F.when(mine, F.col("own")).otherwise(F.col("other")) + first).alias("i"), (F.when(mine, F.col("other")).otherwise(F.col("own")) + 2 * first).alias("j"),
+    )
+
+
+def _sides(group: list[tuple]) -> tuple[list[tuple], dict[int, list[np.ndarray]]]:
+    """The pivot's rows of a group (own 0), and the sets of each other document; an id that rows share may have several."""
+    others: dict[int, list[np.ndarray]] = {}
+    for own, doc_id, _, values in group:
+        if own:
+            others.setdefault(doc_id, []).append(values)
+    return [g for g in group if g[0] == 0], others
+
+
+def _to_pivot(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+    """The estimated similarity of each of a group to its pivot."""
+    pivot, others = _sides(group)
+    for doc_id, sets in others.items() if pivot else ():
+        yield key[0], doc_id, 1, key[1], key[2], max(estimate(values, p[3]) for values in sets for p in pivot)
+
+
+def _linked_to_pivot(percent: int) -> Callable:
+    """Who is linked to the pivot, and whether (1) all sets of that id are, so that it is settled."""
+
+    def linked(a: np.ndarray, b: np.ndarray) -> bool:
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    def work(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        pivot, others = _sides(group)
+        for doc_id, sets in others.items() if pivot else ():
+            held = [any(linked(values, p[3]) for p in pivot) for values in sets]
+            if any(held):
+                yield key[0], doc_id, pivot[0][1], int(all(held))
+
+    return work
 
 
 def by_group(rows: DataFrame, work: Callable[[list[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """Run `work` on the rows (own, doc_id, n, values) of each (leader, i, j); each task streams through its groups."""
     keys = ["leader", "i", "j"]
-    kinds = {"long": pa.int64(), "int": pa.int32()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
     fields = [c.split() for c in schema.split(", ")]
 
     def streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,19 +344,20 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of `edges` (a, b) reaches.
 
     Alternates large-star and small-star steps until nothing changes; each round
-    is written to the shared folder.
+    is written to the shared folder. The star of a large component is dealt to
+    several tasks.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut_lineage(both)
     while True:
         sides = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sides.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = sides.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
+        least = sides.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), "n")
+        large = join_spread(sides, least, ["a"], F.col("b"), "n").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = cut_lineage(large)
+        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = join_spread(large, low, ["a"], F.col("b"), "n").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
         after = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
-        same = after.count() == now.count() and after.exceptAll(now).isEmpty()
-        if same:
+        if after.count() == now.count() and after.exceptAll(now).isEmpty():
             roots = after.select(F.col("b").alias("a"), "b").distinct()
             return after.union(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
         now = after
@@ -273,29 +374,37 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc
     """
     made = cut_lineage(sketches(documents, width, doc_id, text))
     named = made.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    classes = cut_lineage(classes)
-    places = canopies(classes)
-    packed = classes.select("doc_id", "n", F.col("sketch").alias("values"))
-    near = cut_lineage(
-        by_group(places.join(_as_bytes(packed), "doc_id"), promising(percent / 100), "leader long, doc_id long, own int, i int, j int")
+    classes = named.groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
     )
-    wanted = near.select("doc_id").distinct()
-    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(wanted, "doc_id", "left_semi")
-    found = by_group(near.join(_full_sets(texts, width), "doc_id"), links(percent), "a long, b long")
-    repeated = made.where("doc_id is not null").join(classes.select("set_a", "set_b", F.col("doc_id").alias("rep")), ["set_a", "set_b"])
-    same_id = repeated.groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps")).where(F.size("reps") > 1)
-    edges = found.union(same_id.select(F.explode("reps").alias("a"), "b"))
+    classes = cut_lineage(classes)
+    sketched = _as_bytes(classes.select("doc_id", "n", F.col("sketch").alias("values")))
+    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+    def full(ids: DataFrame) -> DataFrame:
+        return _full_sets(texts.join(ids, "doc_id", "left_semi"), width)
+
+    places, settled = compared(cut_lineage(canopies(classes)), full, sketched, percent)
+    near = cut_lineage(by_group(places.join(sketched, "doc_id"), promising(percent / 100), "leader long, doc_id long, own int, i int, j int"))
+    found = by_group(near.join(full(near.select("doc_id").distinct()), "doc_id"), links(percent), "a long, b long")
+    edges = reduce(DataFrame.union, [found, *settled, _same_id(named, classes)])
     reached = components(edges)
-    reps = classes.join(reached, F.col("doc_id") == F.col("node"), "left").select(
-        "set_a", "set_b", F.coalesce("component", "doc_id").alias("component_id")
-    )
-    joined = made.join(reps, ["set_a", "set_b"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    reps = classes.join(reached, F.col("doc_id") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component_id"), "copies")
+    joined = join_spread(named.select("doc_id", "n_shingles", "set_a", "set_b"), cut_lineage(reps), ["set_a", "set_b"], F.col("doc_id"), "copies")
+    alone = made.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    every = joined.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _same_id(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes that rows with one doc_id belong to."""
+    one = F.struct("set_a", "set_b")
+    several = named.groupBy("doc_id").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("n")).where("low <> high").select("doc_id", "low", "n")
+    several = cut_lineage(several)
+    pairs = join_spread(named.select("doc_id", "set_a", "set_b"), several, ["doc_id"], F.xxhash64("set_a"), "n").select("set_a", "set_b", "low").distinct()
+    of = classes.select("set_a", "set_b", F.col("doc_id").alias("rep"))
+    first = pairs.join(of, ["set_a", "set_b"]).select(F.col("rep").alias("a"), F.col("low.set_a").alias("set_a"), F.col("low.set_b").alias("set_b"))
+    return first.join(of, ["set_a", "set_b"]).select("a", F.col("rep").alias("b"))
 
 
 def _as_bytes(rows: DataFrame) -> DataFrame:
@@ -310,6 +419,8 @@ def _as_bytes(rows: DataFrame) -> DataFrame:
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, n, values): the whole set of each text."""
+
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(body.as_py(), width) for body in batch.column(1)]

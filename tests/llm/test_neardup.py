@@ -111,3 +111,58 @@ def test_two_kinds_of_copies_stay_two_groups(spark):
     for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect():
         by[r["component_id"]].add(r["doc_id"])
     assert {k: len(v) for k, v in by.items()} == {0: 300, 1: 300}
+
+
+def templated(count, shared, own, edits=0, seed=1):
+    """Pages of a template, each with words of its own; some with edits in the template."""
+    draw = np.random.default_rng(seed)
+    template = [f"t{i}" for i in range(shared)]
+    rows = []
+    for i in range(count):
+        page = list(template)
+        for at in draw.choice(shared, edits, replace=False) if edits else ():
+            page[at] = f"e{draw.integers(0, 1000)}"
+        rows.append((i, " ".join([*page, *[f"p{i}w{k}" for k in range(own)]])))
+    return rows
+
+
+@pytest.mark.parametrize(("block", "rounds"), [(20, 1), (30, 4), (64, 2)])
+def test_pivots_by_brute_force(spark, monkeypatch, block, rounds):
+    monkeypatch.setattr(n, "BLOCK", block)
+    monkeypatch.setattr(n, "ROUNDS", rounds)
+    rows = templated(150, 100, 3) + [(i + 1000, t) for i, t in templated(150, 100, 12)] + [(i + 2000, t) for i, t in templated(200, 90, 2, 7)]
+    check(spark, rows, 3, 85)
+
+
+def test_pivots_where_rows_share_an_id(spark, monkeypatch):
+    monkeypatch.setattr(n, "BLOCK", 10)
+    rows = templated(60, 80, 2)
+    other = " ".join(f"x{k}" for k in range(82))
+    docs = spark.createDataFrame([*rows, (3, other), (100, other + " y"), (101, "alone in the world")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in n.near_duplicates(docs, 3, 85).collect()}
+    assert {d: c for d, c in got.items() if c} == {101: 101} and got[100] == 0
+
+
+def test_many_templated_pages_cost_as_much_as_there_are_pages(spark, monkeypatch):
+    compared = []
+    real = n.by_group
+
+    def counted(rows, work, schema):
+        rows = n.cut_lineage(rows)
+        compared.append(rows.count())
+        return real(rows, work, schema)
+
+    monkeypatch.setattr(n, "by_group", counted)
+    docs = spark.createDataFrame(templated(20_000, 60, 3), "doc_id long, text string").repartition(8)
+    rows = n.near_duplicates(docs, 3, 85).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in rows] == [(0, 20_000)]
+    assert sum(compared) < 6 * 20_000
+
+
+def test_frequent_sets_and_stars_are_dealt_to_tasks(spark, monkeypatch):
+    from sightline.llm import common
+
+    monkeypatch.setattr(common, "OFTEN", 25)
+    rows = [(i, "the same text again and again") for i in range(300)] + [(i + 300, "") for i in range(300)] + [(i + 600, t) for i, t in templated(100, 60, 2)]
+    got = {r["doc_id"]: r["component_id"] for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert got == {**dict.fromkeys(range(300), 0), **{i: i for i in range(300, 600)}, **dict.fromkeys(range(600, 700), 600)}
