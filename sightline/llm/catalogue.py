@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, fingerprints, html, langid, neardup, packing, quality, shards, urls
-from .common import table
+from .common import cut_lineage, table
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +89,11 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = langid.bucket("doc_id", 5)
-    model = quality.train(
-        quality.trusted(documents, table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold != 0))), documents.where(fold != 0)
-    )
-    judged = quality.judge(documents, model)
-    return judged.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+    rows = cut_lineage(quality.measured(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    good = table(spark, sf_dir, "labels").where((F.col("quality") == 1) & (fold != 0))
+    model = quality.train(quality.trusted(rows.where(fold != 0), good), rows.where(fold != 0))
+    return quality.judge_measured(rows, model).select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {

@@ -1,23 +1,28 @@
 """Quality classification from positive and unlabelled texts.
 
-A small network over measures of style is fitted to trusted positives P and
-unlabelled web text U by minimising the non-negative unbiased risk
+A linear score over measures of style and hashed n-grams is fitted to trusted
+positives P and unlabelled web text U by minimising the non-negative unbiased risk
 
-    prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]).
+    prior * E_P[loss(+)] + max(-tolerance, E_U[loss(-)] - prior * E_P[loss(-)]).
 
-The class prior is estimated from P and U alone: it is at most U(A) / P(A) for
-every set A, so the least such ratio over score ranges of a first classifier
-bounds it.
+With the squared loss every term is a quadratic in the weights whose coefficients
+are mean products of features. So one pass over ALL positives and ALL unlabelled
+rows gathers all there is to know: tasks hand on matrices of a fixed size, whatever
+the number of rows, and no row is sampled. The minimum is then found on the driver:
+in closed form, or where the second term would fall below the tolerance (the chance
+error of the positives' means) at the multiplier that holds it there.
 
-Fitting uses at most about SAMPLE positives and as many unlabelled rows. Of
-each distinct text as many copies are taken as its part of the rows asks for, so
-copies are thinned, not taken or lost together. The class prior is a figure of
-all unlabelled rows, and a score reads the whole text.
+The class prior is estimated from P and U alone: it is at most U(A) / P(A) for
+every set A. The sets are score ranges of two classifiers that tell P from U, each
+fitted to one half of the rows and counted on all rows of the other half. (How rows
+fall into batches has a little to do with which half copies of a text are in, and
+so with the last digits of the prior and the scores.)
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,11 +32,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 8000
-HIDDEN = 12
-STEPS = 600
+from .common import cut_lineage
+
 THRESHOLD = 0.3
 N_MEASURES = 17
+#: Buckets of hashed byte 3-grams, and of hashed words.
+GRAMS = 32
+#: Weights of the two kinds of features beside each other, ridge, and tolerance; chosen by cross-validation, see the README.
+MEASURE_WEIGHT, GRAM_WEIGHT = 0.25, 0.5
+RIDGE, RIDGE_PER_ROW, TOLERANCE = 3e-3, 1.0, 1.0
+WIDTH = N_MEASURES + 2 * GRAMS
+#: Slope from the fitted target (-1 to 1) to a score.
+SLOPE = 2.1
+#: Keys of positives up to which they are broadcast (8 bytes each).
+BROADCAST_KEYS = 1_000_000
+#: Tasks that add up the matrices of all others.
+SUMMING = 32
+#: Score ranges of the classifiers that the prior is read off, between -LIMIT and LIMIT.
+RANGES, LIMIT = 2000, 4.0
 
 _upper = bytes(range(65, 91))
 _digits = bytes(range(48, 58))
@@ -71,151 +89,203 @@ def measures(text: str | None) -> list[float]:
     ]
 
 
+def features(text: str | None) -> np.ndarray:
+    """The measures, then root frequencies of hashed byte 3-grams and of hashed words, of a whole text."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    out = np.zeros(WIDTH, np.float32)
+    out[:N_MEASURES] = measures(text)
+    for start, ids in ((N_MEASURES, _gram_buckets(raw)), (N_MEASURES + GRAMS, _word_buckets(raw))):
+        if len(ids):
+            out[start : start + GRAMS] = np.sqrt(np.bincount(ids, minlength=GRAMS) / len(ids))
+    return out
+
+
+def _bucket(hashed: np.ndarray) -> np.ndarray:
+    return (hashed * np.uint32(0x9E3779B1)) >> np.uint32(33 - GRAMS.bit_length())
+
+
+def _gram_buckets(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
+    return _bucket(b[:-2] << 16 | b[1:-1] << 8 | b[2:]) if raw else b[:0]
+
+
+def _word_buckets(raw: bytes) -> np.ndarray:
+    return _bucket(np.fromiter(map(zlib.crc32, raw.lower().split()), np.uint32))
+
+
 @dataclass
 class Model:
     mean: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
+    weights: np.ndarray
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """How likely rows of measures are positive."""
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return _sigmoid(np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-def _fit(p: np.ndarray, u: np.ndarray, prior: float, non_negative: bool = True, steps: int = STEPS) -> Model:
-    """Full-batch Adam on the (non-negative) risk with the logistic loss."""
-    draw = np.random.default_rng(7)
-    mean, scale = u.mean(0), u.std(0) + 1e-3
-    zp, zu = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
-    z = np.vstack([zp, zu])
-    theta = [draw.normal(0, 0.3, (z.shape[1], HIDDEN)), np.zeros(HIDDEN), draw.normal(0, 0.3, HIDDEN), np.zeros(1)]
-    m, v = ([np.zeros_like(t) for t in theta] for _ in range(2))
-    for step in range(1, steps + 1):
-        hidden = np.tanh(z @ theta[0] + theta[1])
-        g = hidden @ theta[2] + theta[3]
-        out, as_negative = _sigmoid(g), np.logaddexp(0, g)
-        op, ou = out[: len(zp)] / len(zp), out[len(zp) :] / len(zu)
-        negative = as_negative[len(zp) :].mean() - prior * as_negative[: len(zp)].mean()
-        if negative >= 0 or not non_negative:
-            # loss(+) falls by 1 - out and loss(-) by -out: over P both together by 1.
-            g = np.concatenate([np.full(len(zp), -prior / len(zp)), ou])
-        else:  # only undo the part that has gone below zero
-            g = np.concatenate([prior * op, -ou])
-        back = np.outer(g, theta[2]) * (1 - hidden**2)
-        grads = [z.T @ back, back.sum(0), hidden.T @ g, np.array([g.sum()])]
-        for k, grad in enumerate(grads):
-            grad = grad + 1e-4 * theta[k]
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            v[k] = 0.999 * v[k] + 0.001 * grad**2
-            theta[k] = theta[k] - 0.02 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    return Model(mean, scale, theta[0], theta[1], theta[2], float(theta[3][0]), prior)
-
-
-def estimate_prior(p: np.ndarray, u: np.ndarray, reached: Callable[[Model, np.ndarray], np.ndarray] | None = None) -> float:
-    """The least ratio of the shares of U and P above a score of a classifier that tells P from U, with room for chance.
-
-    p and u fit the classifier. `reached` tells for a classifier and ascending
-    scores how many rows of all of U have none of them, one of them, and so on; without it u is all of U.
-    """
-    first = _fit(p, u, 0.5, non_negative=False, steps=200)
-    sp, su = first.score(p), first.score(u)
-    # A hair less, so that rows of one text are on one side however they were batched.
-    levels = np.quantile(np.concatenate([sp, su]), np.linspace(0, 0.95, 60)) - 1e-9
-    held = reached(first, levels) if reached else _levels(su, levels)
-    above = np.cumsum(held[::-1])[::-1][1:] / held.sum()
-    room = math.sqrt(math.log(20) / min(len(p), held.sum()) / 2)
-    ratios = [(a + room) / (share - room) for a, t in zip(above, levels, strict=True) if (share := np.mean(sp >= t)) > 0.2 + room]
-    return float(np.clip(min([*ratios, 0.99]), 0.05, 0.99))
+        """How likely rows of features are positive."""
+        return 1 / (1 + np.exp(-np.clip(SLOPE * (_inputs(x, self.mean, self.scale) @ self.weights), -30, 30)))
 
 
-def _levels(scores: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """How many scores reach none of the ascending levels, one, and so on."""
-    return np.bincount(np.searchsorted(levels, scores, side="right"), minlength=len(levels) + 1)
+def _inputs(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """A one, measures in units of the positives' spread, and n-grams about the positives' mean."""
+    z = x - mean
+    styles = np.clip(z[:, :N_MEASURES] / scale[:N_MEASURES], -8, 8) * MEASURE_WEIGHT
+    return np.concatenate([np.ones((len(x), 1)), styles, z[:, N_MEASURES:] * GRAM_WEIGHT], axis=1)
 
 
-def levels_of(rows: DataFrame, model: Model, levels: np.ndarray) -> np.ndarray:
-    """`_levels` of the scores of all rows' column text; only these counts leave the tasks."""
+def measured(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The features of each row's text as an array column `x`, in place of the text, beside its other columns."""
+    others = [c for c in rows.columns if c.lower() != "x" and c != text]
+    schema = rows.select(*others, F.array().cast("array<float>").alias("x")).schema
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(len(levels) + 1, int)
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                held += _levels(model.score(np.array([measures(body.as_py()) for body in batch["text"]])), levels)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(held)), pa.int32()), pa.array(held, pa.int64())], names=["level", "n"])
+            x = pa.array([features(body.as_py()) for body in batch.column(len(others))], pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], x], names=[*others, "x"])
 
-    held = np.zeros(len(levels) + 1, int)
-    for row in rows.select("text").mapInArrow(counted, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect():
-        held[row["level"]] = row["n"]
-    return held
+    return rows.select(*others, text).mapInArrow(taken, schema)
 
 
-def measured(rows: DataFrame, text: str = "text") -> DataFrame:
-    """The measures of each row's text as an array column `x`, beside its other columns."""
-    with_x = rows.select(*[c for c in rows.columns if c.lower() != "x"], F.array().cast("array<double>").alias("x"))
+def trusted(rows: DataFrame, positives: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is in `positives`."""
+    ids = cut_lineage(positives.where(F.col(key).isNotNull()).select(key).distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids, key, "left_semi")
 
-    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch["x"].values.to_numpy(zero_copy_only=False).reshape(len(batch), WIDTH).astype(float)
+
+
+def _halves(x: np.ndarray) -> np.ndarray:
+    """To which of two halves each row of a batch belongs: by a hash of its features, copies of a text in turn, so that both halves know a common text."""
+    met: Counter[int] = Counter()
+    half = np.empty(len(x), int)
+    for k, row in enumerate(x):
+        name = zlib.crc32(row.astype(np.float32).tobytes())
+        half[k] = (name + met[name]) & 1
+        met[name] += 1
+    return half
+
+
+def _added(rows: DataFrame, shape: tuple[int, ...], of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
+    """The sum over all batches of arrays of one shape; each task adds up its own, SUMMING tasks those, the driver the last."""
+    schema = "total binary"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
         for batch in batches:
-            x = pa.array([measures(body.as_py()) for body in batch[text]], batch.schema.field("x").type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], x], schema=batch.schema)
+            if len(batch):
+                total += of(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for one in batch.column(0):
+                total += np.frombuffer(one.as_py()).reshape(shape)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
 
-    return with_x.mapInArrow(taken, with_x.schema)
+    parts = rows.mapInArrow(each, schema).repartition(SUMMING).mapInArrow(again, schema).collect()
+    return sum((np.frombuffer(p["total"]).reshape(shape) for p in parts), np.zeros(shape))
 
 
-def trusted(documents: DataFrame, positives: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """The documents whose key is in `positives`: all of them, or about `sample` chosen by a hash of the key."""
-    ids = positives.where(F.col(key).isNotNull()).select(key).distinct()
-    n = ids.count()
-    if n > sample:
-        ids = ids.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(1 << 20)) < F.lit(int(sample / n * (1 << 20))))
-    return documents.join(F.broadcast(ids), key, "left_semi")  # about `sample` keys at most
+def _moments(rows: DataFrame, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """For each half the sum of products of inputs; the first of them is one, so the sums and the count are in it."""
 
+    def products(batch: pa.RecordBatch) -> np.ndarray:
+        x = _matrix(batch)
+        half, z = _halves(x), _inputs(x, mean, scale)
+        return np.stack([z[half == k].T @ z[half == k] for k in (0, 1)])
 
-def sampled(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The measures of the column text: of every row, or of about `sample` rows in which each distinct text has its part.
+    return _added(rows, (2, WIDTH + 1, WIDTH + 1), products)
 
-    Of m equal texts floor(m * sample / n + u) are taken, u a hash of the text: no
-    text is taken more often than its part of the rows, give or take one.
-    """
-    body = F.coalesce("text", F.lit(""))
-    keyed = rows.select(body.alias("text"), F.xxhash64(body, F.lit(3)).alias("key"))
-    sizes = keyed.groupBy("key").count()
-    n = sizes.agg(F.sum("count")).first()[0] or 0
-    if n <= sample:
-        x = np.array([r["x"] for r in measured(keyed).select("x").toLocalIterator()]).reshape(-1, N_MEASURES)
-    else:
-        chance = F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 20)) / float(1 << 20)
-        taken = sizes.select("key", F.floor(F.col("count") * F.lit(sample / n) + chance).alias("taken")).where("taken > 0")
-        chosen = keyed.join(F.broadcast(taken), "key")  # about `sample` keys at most
-
-        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            for batch in batches:
-                new = [i for i, key in enumerate(batch["key"].to_pylist()) if key not in seen and not seen.add(key)]
-                yield batch.take(pa.array(new, pa.int64()))
-
-        # A text's copies are measured once a task and kept once.
-        found = measured(chosen.mapInArrow(once, chosen.schema)).select("key", "taken", "x").dropDuplicates(["key"])
-        each = [(r["taken"], r["x"]) for r in found.toLocalIterator()]
-        x = np.repeat(np.array([e[1] for e in each]), [e[0] for e in each], axis=0)
-    return x[np.lexsort(x.T)]
-
-
-def train(positives: DataFrame, unlabelled: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model | None:
-    """Fit to the texts of two tables; null texts count as empty. None when either table is empty."""
-    sides = [rows.select(F.col(text).alias("text")) for rows in (positives, unlabelled)]
-    p, u = (sampled(rows, sample) for rows in sides)
-    if not len(p) or not len(u):
+
+def _reached(rows: DataFrame, mean: np.ndarray, scale: np.ndarray, classifiers: list[np.ndarray]) -> np.ndarray:
+    """How many rows have a score in each range, by the classifier fitted to the half they are not in."""
+
+    def counted(batch: pa.RecordBatch) -> np.ndarray:
+        x = _matrix(batch)
+        half, z = _halves(x), _inputs(x, mean, scale)
+        scores = np.where(half == 0, z @ classifiers[1], z @ classifiers[0])
+        # A hair added, so that rows of one text fall together however they were batched.
+        at = np.floor((scores + 1e-9 + LIMIT) / (2 * LIMIT) * RANGES)
+        return np.bincount(np.clip(at, 0, RANGES - 1).astype(int), minlength=RANGES).astype(float)
+
+    return _added(rows, (RANGES,), counted)
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """The least ratio of the shares of U and P above a score, from how many rows of each fall in ascending ranges; only where half of P is above."""
+    above_p, above_u = (np.cumsum(h[::-1])[::-1] / max(1, h.sum()) for h in (p, u))
+    both = np.cumsum(p + u) / max(1, (p + u).sum())
+    # Sixty levels, so that the least of them is not the luckiest of very many.
+    levels = np.searchsorted(both, np.linspace(0, 0.95, 60))
+    ratios = [above_u[t] / above_p[t] for t in levels if t < len(p) and above_p[t] > 0.5]
+    return float(np.clip(min([*ratios, 0.99]), 0.05, 0.99))
+
+
+def _ridge(n_positive: float) -> np.ndarray:
+    ridge = np.full(WIDTH + 1, RIDGE + RIDGE_PER_ROW / n_positive)
+    ridge[0] = 0
+    return np.diag(ridge + 1e-9)
+
+
+def minimise(p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The weights of least non-negative risk, from sums of products of inputs over P and over U."""
+    n = p[0, 0]
+    p, u, ridge = p / n, u / u[0, 0], _ridge(n)
+
+    def negative(w: np.ndarray) -> float:
+        """E_U[loss(-)] - prior * E_P[loss(-)]; loss(-) is a quarter of (score + 1) squared."""
+        return ((w @ u @ w + 2 * w @ u[0] + 1) - prior * (w @ p @ w + 2 * w @ p[0] + 1)) / 4
+
+    def least(share: float) -> np.ndarray:
+        """The minimum with the second term weighed by `share`: 1 is the unbiased risk."""
+        return np.linalg.solve(share * u / 2 + (1 - share) * prior * p / 2 + ridge, prior * p[0] * (1 + share) / 2 - share * u[0] / 2)
+
+    floor = -TOLERANCE * prior / math.sqrt(n)
+    if negative(least(1.0)) >= floor:
+        return least(1.0)
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        share = (low + high) / 2
+        low, high = (low, share) if negative(least(share)) < floor else (share, high)
+    return least(low)
+
+
+def train(positives: DataFrame, unlabelled: DataFrame) -> Model | None:
+    """Fit to the column `x` of two tables (see `measured`), which are read three times and should be cheap to read. None when either is empty."""
+
+    def sums(batch: pa.RecordBatch) -> np.ndarray:
+        x = _matrix(batch)
+        return np.stack([np.r_[len(x), x.sum(0)], np.r_[len(x), (x * x).sum(0)]])
+
+    first, second = _added(positives.select("x"), (2, WIDTH + 1), sums)
+    if not first[0] or unlabelled.isEmpty():
         return None
-    return _fit(p, u, estimate_prior(p, u, lambda first, levels: levels_of(sides[1], first, levels)))
+    mean = first[1:] / first[0]
+    scale = np.sqrt(np.maximum(second[1:] / first[0] - mean**2, 0)) + 1e-2
+    p, u = (_moments(rows.select("x"), mean, scale) for rows in (positives, unlabelled))
+    tell_apart = []
+    for k in (0, 1):
+        # All rows stand in where one half of the texts has none of a side.
+        mine, theirs = (m[k] if m[k][0, 0] else m.sum(0) for m in (p, u))
+        a, b = mine / mine[0, 0], theirs / theirs[0, 0]
+        tell_apart.append(np.linalg.solve(a + b + 2 * _ridge(first[0]), a[0] - b[0]))
+    prior = estimate_prior(*(_reached(rows.select("x"), mean, scale, tell_apart) for rows in (positives, unlabelled)))
+    return Model(mean, scale, minimise(p.sum(0), u.sum(0), prior), prior)
+
+
+def judge_measured(rows: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """`judge` for rows that have their features in a last column `x`, which score takes the place of."""
+    others = [c for c in rows.columns if c != "x"]
+    kept = rows.select(*others, F.lit(0.0).alias("score"))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = model.score(_matrix(batch)) if model else np.full(len(batch), 0.5)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], schema=batch.schema.remove(len(others)).append(pa.field("score", pa.float64())))
+
+    return rows.select(*others, "x").mapInArrow(scored, kept.schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def judge(documents: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -229,7 +299,7 @@ def judge(documents: DataFrame, model: Model | None, text: str = "text", thresho
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([measures(body.as_py()) for body in batch[text]]).reshape(-1, N_MEASURES)
+            x = np.array([features(body.as_py()) for body in batch[text]]).reshape(-1, WIDTH)
             score = model.score(x) if model else np.full(len(x), 0.5)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], schema=batch.schema)
 

@@ -61,35 +61,87 @@ def test_quality_of_held_out_documents(spark):
     assert auc > 0.98
 
 
+def by_hand(texts, good, fit):
+    """Scores of all texts with numpy alone; good and fit tell which rows are positives and which unlabelled rows to fit to."""
+    x = np.array([quality.features(t) for t in texts], np.float32).astype(float)
+    mean, scale = x[good].mean(0), x[good].std(0) + 1e-2
+    z = quality._inputs(x, mean, scale)
+    sides = [(z[m], quality._halves(x[m])) for m in (good, fit)]
+    apart = []
+    for k in (0, 1):
+        pk, uk = (rows[half == k] for rows, half in sides)
+        apart.append(np.linalg.solve(pk.T @ pk / len(pk) + uk.T @ uk / len(uk) + 2 * quality._ridge(good.sum()), pk.mean(0) - uk.mean(0)))
+    counts = []
+    for rows, half in sides:
+        other = np.where(half == 0, rows @ apart[1], rows @ apart[0])
+        at = np.clip(np.floor((other + 1e-9 + quality.LIMIT) / (2 * quality.LIMIT) * quality.RANGES), 0, quality.RANGES - 1).astype(int)
+        counts.append(np.bincount(at, minlength=quality.RANGES))
+    prior = quality.estimate_prior(*counts)
+    weights = quality.minimise(z[good].T @ z[good], z[fit].T @ z[fit], prior)
+    return 1 / (1 + np.exp(-np.clip(quality.SLOPE * (z @ weights), -30, 30)))
+
+
+@pytest.mark.parametrize(("partitions", "within"), [(1, 1e-6), (7, 0.02)])
+def test_quality_query_by_hand(spark, tmp_path, partitions, within):
+    import zlib
+
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    (docs.coalesce(1) if partitions == 1 else docs.repartition(partitions)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/sf0.01/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    good = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/sf0.01/labels.parquet").where("quality = 1").collect()}
+    fit = np.array([zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0 for r in rows])
+    want = by_hand([r["text"] for r in rows], fit & np.array([r["doc_id"] in good for r in rows]), fit)
+    got = {r["doc_id"]: r for r in catalogue.op10_quality(spark, str(tmp_path)).collect()}
+    assert [got[r["doc_id"]]["score"] for r in rows] == pytest.approx(list(want), abs=within)
+    assert all(g["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) and g["predicted"] == (g["score"] >= 0.3) for d, g in got.items())
+
+
 def test_quality_of_awkward_rows(spark):
     docs = awkward.crowded(spark)
-    model = quality.train(docs.where("doc_id = 5"), docs)
+    made = quality.measured(docs.select("doc_id", "text", "slot"))
+    model = quality.train(made.where("doc_id = 5"), made)
     rows = quality.judge(docs, model).collect()
     assert len(rows) == len(awkward.ROWS) and all(0 <= r["score"] <= 1 for r in rows) and rows[0]["slot"] == "mine"
     same = [r["score"] for r in rows if r["doc_id"] in (5, 6)]
     assert same[0] == same[1]
+    again = quality.judge_measured(made, model).collect()
+    assert sorted(str((r["doc_id"], round(r["score"], 9))) for r in again) == sorted(str((r["doc_id"], round(r["score"], 9))) for r in rows)
     assert quality.judge(awkward.empty(spark), model).isEmpty()
-    assert quality.train(docs.limit(0), docs) is None
+    assert quality.train(made.limit(0), made) is None and quality.train(made, made.limit(0)) is None
     assert {r["score"] for r in quality.judge(docs, None).collect()} == {0.5}
 
 
-def test_prior_is_found_and_risk_does_not_fall_below_zero():
+def test_risk_is_least_and_does_not_fall_below_its_floor():
+    draw = np.random.default_rng(3)
+    for prior in (0.5, 0.8, 0.95):
+        p, u = (np.c_[np.ones(400), draw.normal(m, 1, (400, quality.WIDTH)) / 4] for m in (0.5, 0.0))
+        w = quality.minimise(p.T @ p, u.T @ u, prior)
+        floor = -quality.TOLERANCE * prior / np.sqrt(400)
+
+        def risk(w):
+            negative = np.mean((u @ w + 1) ** 2) / 4 - prior * np.mean((p @ w + 1) ** 2) / 4
+            return prior * np.mean((p @ w - 1) ** 2) / 4 + max(floor, negative) + w @ quality._ridge(400) @ w / 2, negative
+
+        best, negative = risk(w)
+        assert negative >= floor - 1e-6
+        assert all(risk(w + draw.normal(0, size, len(w)))[0] >= best - 1e-6 for size in (1e-3, 1e-2, 0.1) for _ in range(200))
+
+
+def test_prior_from_score_ranges():
     draw = np.random.default_rng(3)
+    edges = np.linspace(-8, 8, 401)
     for prior in (0.4, 0.8):
-        good = draw.normal(0, 1, (3000, 4))
-        n = int(3000 * prior)
-        mixed = np.vstack([draw.normal(0, 1, (n, 4)), draw.normal(3.5, 1, (3000 - n, 4))])
-        found = quality.estimate_prior(good, mixed)
-        assert abs(found - prior) < 0.12
-        model = quality._fit(good, mixed, found)
-        assert (model.score(good) > 0.5).mean() > 0.9 and (model.score(mixed[n:]) < 0.5).mean() > 0.9
+        good = draw.normal(2, 1, 3000)
+        mixed = np.r_[draw.normal(2, 1, int(3000 * prior)), draw.normal(-2, 1, 3000 - int(3000 * prior))]
+        assert abs(quality.estimate_prior(np.histogram(good, edges)[0], np.histogram(mixed, edges)[0]) - prior) < 0.06
 
 
 def test_prior_of_a_corpus_with_one_very_common_text(spark):
     good = spark.range(3000).select(F.concat(F.lit("These are quiet words about number "), "id", F.lit(" and what became of it, in the end.")).alias("text"))
     for common in ("$$$ WIN WIN WIN $$$ 999", "### BUY BUY ### 777 ###", "%%% CLICK CLICK %%% 5"):
         docs = good.unionByName(spark.range(1500).select(F.lit(common).alias("text")))
-        model = quality.train(good, docs, sample=1000)
+        model = quality.train(*(quality.measured(side).cache() for side in (good, docs)))
         assert 0.6 < model.prior < 0.85
 
 
