@@ -37,7 +37,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts are judged as empty ones. Without labelled positives every row stays.
     """
     good = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
-    model = quality.train(quality.trusted(docs, good), docs)
+    rows = cut_lineage(quality.measured(docs.select("doc_id", "text")))
+    model = quality.train(quality.trusted(rows, good), rows)
     return kept_where(docs, lambda rows: quality.judge(rows, model), F.col("predicted") == 1) if model else docs
 
 
