@@ -378,7 +378,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
     )
     classes = cut_lineage(classes)
-    sketched = _as_bytes(classes.select("doc_id", "n", F.col("sketch").alias("values")))
+    # Written once: it is read in every round of pivots.
+    sketched = cut_lineage(_as_bytes(classes.select("doc_id", "n", F.col("sketch").alias("values"))))
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def full(ids: DataFrame) -> DataFrame:
