@@ -12,8 +12,8 @@
    block, in documents or in shingles, first lose what is settled: everyone is
    compared with one member, the pivot; those linked to it need not be compared
    among themselves, as they are in one component. The others go on to a next
-   pivot, for ROUNDS rounds, so that a group of many copies costs as much as it has
-   members. Distance (1 less similarity) is a metric: who is farther from the pivot
+   pivot, for ROUNDS rounds or till they fill FEW blocks, so that a group of many
+   copies costs as much as it has members. Distance (1 less similarity) is a metric: who is farther from the pivot
    than twice the threshold's distance has no link to those settled with it; the
    nearer ones are compared with them.
 4. What is left is compared in pairs of blocks, so that no task holds more than
@@ -44,8 +44,10 @@ COMMON = 64
 BLOCK = 256
 #: Shingles that a block should hold at most (8 bytes each); a larger set is a block by itself.
 BLOCK_SHINGLES = 1 << 20
-#: Pivots taken one after another in canopies larger than a block.
+#: Pivots taken one after another in large canopies.
 ROUNDS = 4
+#: Blocks up to which a canopy takes one pivot only: in pairs of blocks a member is then read at most so many times.
+FEW = 8
 #: How far an estimate may fall short of the threshold: over four standard deviations.
 SLACK = 0.28
 #: Columns of a dense comparison that are multiplied at once.
@@ -102,8 +104,8 @@ def canopies(classes: DataFrame) -> DataFrame:
     """(leader, doc_id, n): who is in each canopy; n is the size of the set. The leader, the least doc_id, is one of them."""
     keyed = classes.select("doc_id", "n", "sketch", F.size("sketch").alias("held"))
     front = keyed.select("doc_id", F.explode(F.slice("sketch", 1, KEYS + 4)).alias("value"))
-    common = front.groupBy("value").count().where(F.col("count") > COMMON).select("value")
-    touched = front.join(common, "value", "left_semi").select("doc_id").distinct()
+    common = cut_lineage(front.groupBy("value").count().where(F.col("count") > COMMON).select("value"))
+    touched = cut_lineage(front.join(common, "value", "left_semi").select("doc_id").distinct())
     plain = keyed.join(touched, "doc_id", "left_anti").select("doc_id", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))
     # Sketches that hold common values: take the others first.
     values = keyed.join(touched, "doc_id", "left_semi").select("doc_id", "n", "held", F.posexplode("sketch").alias("place", "value"))
@@ -116,17 +118,18 @@ def canopies(classes: DataFrame) -> DataFrame:
     )
     mostly = F.col("n_common") * 2 > F.col("held")
     chosen = ordered.select("doc_id", "n", F.explode(F.when(mostly, F.array_union("rare", "least")).otherwise(F.col("rare"))).alias("value"))
-    postings = plain.unionByName(chosen)
+    postings = cut_lineage(plain.unionByName(chosen))
     leaders = postings.groupBy("value").agg(F.min("doc_id").alias("leader"), F.count("*").alias("listed")).where("listed > 1")
     return join_spread(postings, cut_lineage(leaders), ["value"], F.col("doc_id"), "listed").groupBy("leader", "doc_id").agg(F.max("n").alias("n"))
 
 
-def in_blocks(members: DataFrame, by: list[str]) -> DataFrame:
-    """Add `blocks`, into how many blocks a group is dealt, and `own`, which one a member is in."""
+def in_blocks(members: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`members` with `blocks`, into how many blocks a group is dealt, `own`, which one a member is in, and `pivot`, the group's
+    least doc_id; and the groups themselves with their blocks."""
     size = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
-    sizes = members.groupBy(*by).agg(F.ceil(size).cast("int").alias("blocks"), F.count("*").alias("held"))
-    dealt = join_spread(members, cut_lineage(sizes), by, F.col("doc_id"), "held")
-    return dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    sizes = cut_lineage(members.groupBy(*by).agg(F.ceil(size).cast("int").alias("blocks"), F.min("doc_id").alias("pivot"), F.count("*").alias("held")))
+    dealt = join_spread(members, sizes, by, F.col("doc_id"), "held")
+    return dealt.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), sizes.select(*by, "blocks")
 
 
 PLACE = ("leader", "doc_id", "own", "i", "j")
@@ -138,56 +141,58 @@ def compared(members: DataFrame, documents: Callable[[DataFrame], DataFrame], sk
     documents: gives the full sets (doc_id, n, values) of the documents named. sketched: (doc_id, n, values) of all.
     """
     least = percent / 100
-    dealt = cut_lineage(in_blocks(members, ["leader"]))
-    places = [dealt.where("blocks = 1").select("leader", "doc_id", "own", F.lit(0).alias("i"), F.lit(0).alias("j"))]
+    places: list[DataFrame] = []
     links: list[DataFrame] = []
-    left = dealt.where("blocks > 1").drop("own", "blocks")
-    for turn in range(1, ROUNDS + 1):
-        if left.isEmpty():
+    pairs: list[DataFrame] = []
+    across: list[DataFrame] = []
+    left = members
+    for turn in range(1, ROUNDS + 2):
+        left = cut_lineage(in_blocks(left, ["leader"])[0])
+        # A canopy that fits a block needs no pivot, from the start or once others are settled.
+        places.append(left.where("blocks = 1").select("leader", "doc_id", "own", F.lit(0).alias("i"), F.lit(0).alias("j")))
+        few = 1 if turn == 1 else FEW
+        pairs.append(left.where(F.col("blocks").between(2, few if turn <= ROUNDS else 1 << 30)))
+        left = left.where(F.col("blocks") > few)
+        if turn > ROUNDS or left.isEmpty():
             break
-        left = cut_lineage(in_blocks(left, ["leader"]))
-        pivots = cut_lineage(left.groupBy("leader").agg(F.min("doc_id").alias("pivot"), F.first("blocks").alias("blocks")))
-        everywhere = pivots.select("leader", F.col("pivot").alias("doc_id"), F.lit(0).alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), F.lit(0).alias("j"))
-        others = left.join(pivots.select("leader", F.col("pivot").alias("doc_id")), ["leader", "doc_id"], "left_anti").select("leader", "doc_id", F.lit(1).alias("own"), F.col("own").alias("i"), F.lit(0).alias("j"), "n")
-        star = everywhere.unionByName(others.drop("n"))
-        guessed = cut_lineage(by_group(star.join(sketched, "doc_id"), _to_pivot, "leader long, doc_id long, own int, i int, j int, guess double"))
-        near = guessed.where(F.col("guess") >= least - SLACK).drop("guess")
-        asked = near.unionByName(everywhere.join(near.select("leader", "i").distinct(), ["leader", "i"], "left_semi"))
-        settled = cut_lineage(by_group(asked.join(documents(asked.select("doc_id").distinct()), "doc_id"), _linked_to_pivot(percent), "leader long, doc_id long, pivot long, whole int"))
-        links.append(settled.select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
-        settled = settled.where("whole = 1")
-        rest = others.join(settled.select("leader", "doc_id"), ["leader", "doc_id"], "left_anti").join(guessed.select("leader", "doc_id", "guess"), ["leader", "doc_id"])
-        rest = cut_lineage(rest.select("leader", "doc_id", "n", "guess"))
+        leads = F.col("doc_id") == F.col("pivot")
+        met = F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+        star = left.select("leader", "doc_id", F.when(leads, 0).otherwise(1).alias("own"), F.explode(met).alias("i"), F.lit(0).alias("j"))
+        guessed = cut_lineage(by_group(star.join(sketched, "doc_id"), _to_pivot, "leader long, doc_id long, own int, i int, j int, n long, guess double"))
+        asked = guessed.where(F.col("guess") >= least - SLACK).select(*PLACE).unionByName(star.where("own = 0"))
+        settled = by_group(asked.join(documents(asked.select("doc_id")), "doc_id"), _linked_to_pivot(percent), "leader long, doc_id long, pivot long, whole int")
+        judged = cut_lineage(guessed.select("leader", "doc_id", "n", "guess").join(settled, ["leader", "doc_id"], "left"))
+        links.append(judged.where("pivot is not null").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
+        whole = F.coalesce(F.col("whole"), F.lit(0))
         # Across: the settled (side 1) with those not too far from the pivot (side 0).
-        reach = rest.where(F.col("guess") >= 2 * least - 1 - SLACK).select("leader", "doc_id", "n", F.lit(0).alias("side"))
-        held = others.join(settled.select("leader", "doc_id"), ["leader", "doc_id"], "left_semi").select("leader", "doc_id", "n", F.lit(1).alias("side"))
-        places.append(_across(reach.unionByName(held.join(reach.select("leader").distinct(), "leader", "left_semi")), turn))
-        left = rest.drop("guess")
-    if links:
-        dealt = cut_lineage(in_blocks(left, ["leader"]))
-        other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sides = judged.where((whole == 1) | (F.col("guess") >= 2 * least - 1 - SLACK))
+        across.append(sides.select("leader", "doc_id", "n", F.lit(turn).alias("turn"), whole.alias("side")))
+        left = judged.where(whole == 0).select("leader", "doc_id", "n")
+    if across:
+        places.append(_across(reduce(DataFrame.unionByName, across)))
+        other = reduce(DataFrame.unionByName, pairs).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         places.append(other.select("leader", "doc_id", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
     return reduce(DataFrame.unionByName, places), links
 
 
-def _across(members: DataFrame, turn: int) -> DataFrame:
+def _across(members: DataFrame) -> DataFrame:
     """Rows of PLACE that bring each block of side 0 together with each of side 1; `turn` keeps them apart from other blocks."""
-    dealt = cut_lineage(in_blocks(members, ["leader", "side"]))
-    counts = dealt.groupBy("leader", F.pmod(F.col("side") + 1, F.lit(2)).alias("side")).agg(F.first("blocks").alias("opposite"))
-    met = dealt.join(counts, ["leader", "side"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("opposite") - 1)))
-    mine, first = F.col("side") == 0, turn << 24
+    dealt, sizes = in_blocks(members, ["leader", "turn", "side"])
+    opposite = sizes.select("leader", "turn", (1 - F.col("side")).alias("side"), F.col("blocks").alias("opposite"))
+    met = dealt.join(opposite, ["leader", "turn", "side"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("opposite") - 1)))
+    mine, first = F.col("side") == 0, F.shiftleft("turn", 24)
     return met.select(
         "leader", "doc_id", F.col("side").alias("own"),
         (F.when(mine, F.col("own")).otherwise(F.col("other")) + first).alias("i"), (F.when(mine, F.col("other")).otherwise(F.col("own")) + 2 * first).alias("j"),
     )
 
 
-def _sides(group: list[tuple]) -> tuple[list[tuple], dict[int, list[np.ndarray]]]:
-    """The pivot's rows of a group (own 0), and the sets of each other document; an id that rows share may have several."""
-    others: dict[int, list[np.ndarray]] = {}
-    for own, doc_id, _, values in group:
+def _sides(group: list[tuple]) -> tuple[list[tuple], dict[int, list[tuple[int, np.ndarray]]]]:
+    """The pivot's rows of a group (own 0), and the sets (n, values) of each other document; an id that rows share may have several."""
+    others: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for own, doc_id, n, values in group:
         if own:
-            others.setdefault(doc_id, []).append(values)
+            others.setdefault(doc_id, []).append((n, values))
     return [g for g in group if g[0] == 0], others
 
 
@@ -195,7 +200,7 @@ def _to_pivot(key: tuple, group: list[tuple]) -> Iterator[tuple]:
     """The estimated similarity of each of a group to its pivot."""
     pivot, others = _sides(group)
     for doc_id, sets in others.items() if pivot else ():
-        yield key[0], doc_id, 1, key[1], key[2], max(estimate(values, p[3]) for values in sets for p in pivot)
+        yield key[0], doc_id, 1, key[1], key[2], max(n for n, _ in sets), max(estimate(values, p[3]) for _, values in sets for p in pivot)
 
 
 def _linked_to_pivot(percent: int) -> Callable:
@@ -208,7 +213,7 @@ def _linked_to_pivot(percent: int) -> Callable:
     def work(key: tuple, group: list[tuple]) -> Iterator[tuple]:
         pivot, others = _sides(group)
         for doc_id, sets in others.items() if pivot else ():
-            held = [any(linked(values, p[3]) for p in pivot) for values in sets]
+            held = [any(linked(values, p[3]) for p in pivot) for _, values in sets]
             if any(held):
                 yield key[0], doc_id, pivot[0][1], int(all(held))
 
@@ -319,9 +324,10 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def links(percent: int) -> Callable:
-    """A spanning forest of the pairs whose exact similarity is at least `percent` in a hundred."""
+    """A spanning forest, made of stars, of the graph of pairs whose exact similarity is at least `percent` in a hundred."""
 
     def work(key: tuple, group: list[tuple]) -> Iterator[tuple]:
+        group = sorted(group, key=lambda g: g[1])  # the least id of a tree is its root
         sizes = np.array([len(g[3]) for g in group], np.int64)
         common = overlaps([g[3] for g in group]).astype(np.int64)
         union = sizes[:, None] + sizes - common
@@ -334,8 +340,9 @@ def links(percent: int) -> Callable:
             if a != b:
                 root[max(a, b)] = min(a, b)
         for k, r in enumerate(root):
+            root[k] = root[r]
             if k != r:
-                yield group[k][1], group[r][1]
+                yield group[k][1], group[root[k]][1]
 
     return work
 
@@ -343,24 +350,24 @@ def links(percent: int) -> Callable:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of `edges` (a, b) reaches.
 
-    Alternates large-star and small-star steps until nothing changes; each round
-    is written to the shared folder. The star of a large component is dealt to
-    several tasks.
+    Alternates large-star and small-star steps until only stars are left, which
+    may be so from the start; each step is written to the shared folder. The star
+    of a large component is dealt to several tasks.
     """
     both = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = cut_lineage(both)
     while True:
         sides = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sides.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), "n")
-        large = join_spread(sides, least, ["a"], F.col("b"), "n").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        least = cut_lineage(sides.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")))
+        # Stars: who has a lesser neighbour has no other one.
+        if least.where("low < a and n > 1").isEmpty():
+            return least.select(F.col("a").alias("node"), F.least("a", "low").alias("component"))
+        least = least.select("a", F.least("a", "low").alias("low"), "n")
+        large = join_spread(sides, least, ["a"], F.col("b"), "n").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = cut_lineage(large)
-        low = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")))
         small = join_spread(large, low, ["a"], F.col("b"), "n").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
-        after = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
-        if after.count() == now.count() and after.exceptAll(now).isEmpty():
-            roots = after.select(F.col("b").alias("a"), "b").distinct()
-            return after.union(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))
-        now = after
+        now = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -387,8 +394,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc
 
     places, settled = compared(cut_lineage(canopies(classes)), full, sketched, percent)
     near = cut_lineage(by_group(places.join(sketched, "doc_id"), promising(percent / 100), "leader long, doc_id long, own int, i int, j int"))
-    found = by_group(near.join(full(near.select("doc_id").distinct()), "doc_id"), links(percent), "a long, b long")
-    edges = reduce(DataFrame.union, [found, *settled, _same_id(named, classes)])
+    found = by_group(near.join(full(near.select("doc_id")), "doc_id"), links(percent), "a long, b long")
+    edges = reduce(DataFrame.union, [found, *settled, *_same_id(named, classes)])
     reached = components(edges)
     reps = classes.join(reached, F.col("doc_id") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component_id"), "copies")
     joined = join_spread(named.select("doc_id", "n_shingles", "set_a", "set_b"), cut_lineage(reps), ["set_a", "set_b"], F.col("doc_id"), "copies")
@@ -397,15 +404,17 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc
     return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _same_id(named: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): links between the classes that rows with one doc_id belong to."""
+def _same_id(named: DataFrame, classes: DataFrame) -> list[DataFrame]:
+    """(a, b): links between the classes that rows with one doc_id belong to; nothing where no such rows are."""
     one = F.struct("set_a", "set_b")
     several = named.groupBy("doc_id").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("n")).where("low <> high").select("doc_id", "low", "n")
     several = cut_lineage(several)
+    if several.isEmpty():
+        return []
     pairs = join_spread(named.select("doc_id", "set_a", "set_b"), several, ["doc_id"], F.xxhash64("set_a"), "n").select("set_a", "set_b", "low").distinct()
     of = classes.select("set_a", "set_b", F.col("doc_id").alias("rep"))
     first = pairs.join(of, ["set_a", "set_b"]).select(F.col("rep").alias("a"), F.col("low.set_a").alias("set_a"), F.col("low.set_b").alias("set_b"))
-    return first.join(of, ["set_a", "set_b"]).select("a", F.col("rep").alias("b"))
+    return [first.join(of, ["set_a", "set_b"]).select("a", F.col("rep").alias("b"))]
 
 
 def _as_bytes(rows: DataFrame) -> DataFrame:

@@ -166,3 +166,29 @@ def test_frequent_sets_and_stars_are_dealt_to_tasks(spark, monkeypatch):
     rows = [(i, "the same text again and again") for i in range(300)] + [(i + 300, "") for i in range(300)] + [(i + 600, t) for i, t in templated(100, 60, 2)]
     got = {r["doc_id"]: r["component_id"] for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
     assert got == {**dict.fromkeys(range(300), 0), **{i: i for i in range(300, 600)}, **dict.fromkeys(range(600, 700), 600)}
+
+
+def test_few_blocks_take_one_pivot(spark, monkeypatch):
+    """Pages about 0.8 alike, which no pivot settles, in six blocks: further pivots would be rounds of jobs for nothing."""
+    calls = []
+    real = n.by_group
+    monkeypatch.setattr(n, "by_group", lambda *args: calls.append(args[2]) or real(*args))
+    monkeypatch.setattr(n, "BLOCK", 20)
+    check(spark, templated(115, 80, 8), 3, 85)
+    assert len(calls) == 4
+
+
+def test_stars_take_no_contraction(spark, monkeypatch):
+    written = []
+    real = n.cut_lineage
+    monkeypatch.setattr(n, "cut_lineage", lambda df: written.append(df.columns) or real(df))
+    edges = [(i, 0) for i in range(1, 50)] + [(100, i) for i in (99,)] + [(200, 201), (200, 202), (203, 200)]
+    got = {r["node"]: r["component"] for r in n.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(50), 0), 99: 99, 100: 99, **dict.fromkeys(range(200, 204), 200)}
+    assert len(written) == 2
+
+
+def test_trees_of_a_block_are_stars_at_the_least_id():
+    sets = {d: np.arange(k, k + 100).astype(np.uint64) for k, d in enumerate([7, 3, 9, 1, 5, 8])}
+    group = [(0, d, 100, s) for d, s in sets.items()]
+    assert sorted(n.links(97)((0, 0, 0), group)) == [(d, 1) for d in (3, 5, 7, 8, 9)]
