@@ -48,6 +48,8 @@ BLOCK_SHINGLES = 1 << 20
 ROUNDS = 4
 #: Blocks up to which a canopy takes one pivot only: in pairs of blocks a member is then read at most so many times.
 FEW = 8
+#: Common values, or ids of who holds them, up to which these are broadcast (8 bytes each); more of them are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: How far an estimate may fall short of the threshold: over four standard deviations.
 SLACK = 0.28
 #: Columns of a dense comparison that are multiplied at once.
@@ -104,12 +106,12 @@ def canopies(classes: DataFrame) -> DataFrame:
     """(leader, doc_id, n): who is in each canopy; n is the size of the set. The leader, the least doc_id, is one of them."""
     keyed = classes.select("doc_id", "n", "sketch", F.size("sketch").alias("held"))
     front = keyed.select("doc_id", F.explode(F.slice("sketch", 1, KEYS + 4)).alias("value"))
-    common = cut_lineage(front.groupBy("value").count().where(F.col("count") > COMMON).select("value"))
-    touched = cut_lineage(front.join(common, "value", "left_semi").select("doc_id").distinct())
+    common = _to_all(cut_lineage(front.groupBy("value").count().where(F.col("count") > COMMON).select("value")))
+    touched = _to_all(cut_lineage(front.join(common, "value", "left_semi").select("doc_id").distinct()))
     plain = keyed.join(touched, "doc_id", "left_anti").select("doc_id", "n", F.explode(F.slice("sketch", 1, KEYS)).alias("value"))
     # Sketches that hold common values: take the others first.
     values = keyed.join(touched, "doc_id", "left_semi").select("doc_id", "n", "held", F.posexplode("sketch").alias("place", "value"))
-    marked = values.join(common.withColumn("common", F.lit(1)), "value", "left")
+    marked = values.join(_to_all(common.withColumn("common", F.lit(1))), "value", "left")
     ordered = marked.groupBy("doc_id").agg(
         F.first("n").alias("n"), F.first("held").alias("held"),
         F.slice(F.sort_array(F.collect_list(F.when(F.col("common").isNull(), F.struct("place", "value")))), 1, KEYS)["value"].alias("rare"),
@@ -123,6 +125,11 @@ def canopies(classes: DataFrame) -> DataFrame:
     return join_spread(postings, cut_lineage(leaders), ["value"], F.col("doc_id"), "listed").groupBy("leader", "doc_id").agg(F.max("n").alias("n"))
 
 
+def _to_all(ids: DataFrame) -> DataFrame:
+    """Broadcast `ids` while they are few, at all sizes of sketches; the join is by a shuffle otherwise."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def in_blocks(members: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     """`members` with `blocks`, into how many blocks a group is dealt, `own`, which one a member is in, and `pivot`, the group's
     least doc_id; and the groups themselves with their blocks."""

@@ -192,3 +192,10 @@ def test_trees_of_a_block_are_stars_at_the_least_id():
     sets = {d: np.arange(k, k + 100).astype(np.uint64) for k, d in enumerate([7, 3, 9, 1, 5, 8])}
     group = [(0, d, 100, s) for d, s in sets.items()]
     assert sorted(n.links(97)((0, 0, 0), group)) == [(d, 1) for d in (3, 5, 7, 8, 9)]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_common_values_broadcast_or_shuffled(spark, monkeypatch, few):
+    monkeypatch.setattr(n, "BROADCAST_IDS", few)
+    monkeypatch.setattr(n, "COMMON", 8)
+    check(spark, templated(40, 60, 30) + [(i + 100, t) for i, t in templated(30, 60, 2)], 3, 85)
