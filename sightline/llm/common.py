@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 #: A key with more rows than this, and than a ten-thousandth of all, is dealt to several tasks.
 OFTEN = 1000
+#: Bits for each key in the bitmap of `likely_in`, and bits it has at most (16 MB).
+KEY_BITS = 16
+FILTER_BITS = 1 << 27
+#: Bits of one bitmap of Spark's bitmap functions.
+BITMAP = 1 << 15
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -61,6 +66,29 @@ def join_spread(rows: DataFrame, found: DataFrame, keys: list[str], spread: Colu
     return dealt.join(repeated, [*keys, salt], how).drop(salt)
 
 
+def likely_in(rows: DataFrame, named: DataFrame, key: str) -> DataFrame:
+    """The rows whose `key` is among those of `named`, and a sixteenth of the others at most, without a shuffle of `rows`.
+
+    For wide rows of which a join with `named`, which has to follow, needs few. What
+    is broadcast is a bitmap of hashed keys, 2 to 4 bytes for each row of `named`; with
+    more of these than FILTER_BITS is meant for, more of the others pass, in the end all.
+    `named` is read twice.
+    """
+    held = named.count()
+    bits = BITMAP
+    while bits < min(KEY_BITS * held, FILTER_BITS):
+        bits *= 2
+    if held >= bits:
+        return rows
+    bitmap, seen = (private_name(rows, n) for n in ("bitmap", "seen"))
+    place = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(bits))
+    at = place.bitwiseAND(BITMAP - 1)
+    bitmaps = named.groupBy(F.floor(place / BITMAP).alias(bitmap)).agg(F.bitmap_construct_agg(at).alias(seen))
+    near = rows.withColumn(bitmap, F.floor(place / BITMAP)).join(F.broadcast(bitmaps), bitmap)
+    byte = F.conv(F.hex(F.substring(seen, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return near.where(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(column, UPPER, LOWER)

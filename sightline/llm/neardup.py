@@ -19,7 +19,8 @@
 4. What is left is compared in pairs of blocks, so that no task holds more than
    two. In each the union sketches estimate similarities. Classes with no estimate
    near the threshold leave.
-5. The rest are compared exactly, on full sets, in the same blocks. Of the links of
+5. The rest are compared exactly, on full sets, in the same blocks; only their texts
+   are shuffled, picked by a bitmap of their ids that every task has. Of the links of
    a pair of blocks only a spanning forest is kept: links grow with the
    documents, not with their pairs.
 6. Components come from alternating star contractions over the links.
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, join_spread
+from .common import cut_lineage, join_spread, likely_in
 
 SKETCH = 48
 KEYS = 12
@@ -145,7 +146,7 @@ PLACE = ("leader", "doc_id", "own", "i", "j")
 def compared(members: DataFrame, documents: Callable[[DataFrame], DataFrame], sketched: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """What blocks to compare, as rows of PLACE, and the links (a, b) that pivots settled.
 
-    documents: gives the full sets (doc_id, n, values) of the documents named. sketched: (doc_id, n, values) of all.
+    documents: gives rows of PLACE with the full sets (n, values). sketched: (doc_id, n, values) of all.
     """
     least = percent / 100
     places: list[DataFrame] = []
@@ -165,9 +166,9 @@ def compared(members: DataFrame, documents: Callable[[DataFrame], DataFrame], sk
         leads = F.col("doc_id") == F.col("pivot")
         met = F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
         star = left.select("leader", "doc_id", F.when(leads, 0).otherwise(1).alias("own"), F.explode(met).alias("i"), F.lit(0).alias("j"))
-        guessed = cut_lineage(by_group(star.join(sketched, "doc_id"), _to_pivot, "leader long, doc_id long, own int, i int, j int, n long, guess double"))
+        guessed = cut_lineage(by_group(likely_in(sketched, star, "doc_id").join(star, "doc_id"), _to_pivot, "leader long, doc_id long, own int, i int, j int, n long, guess double"))
         asked = guessed.where(F.col("guess") >= least - SLACK).select(*PLACE).unionByName(star.where("own = 0"))
-        settled = by_group(asked.join(documents(asked.select("doc_id")), "doc_id"), _linked_to_pivot(percent), "leader long, doc_id long, pivot long, whole int")
+        settled = by_group(documents(asked), _linked_to_pivot(percent), "leader long, doc_id long, pivot long, whole int")
         judged = cut_lineage(guessed.select("leader", "doc_id", "n", "guess").join(settled, ["leader", "doc_id"], "left"))
         links.append(judged.where("pivot is not null").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
         whole = F.coalesce(F.col("whole"), F.lit(0))
@@ -396,12 +397,12 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc
     sketched = cut_lineage(_as_bytes(classes.select("doc_id", "n", F.col("sketch").alias("values"))))
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
-    def full(ids: DataFrame) -> DataFrame:
-        return _full_sets(texts.join(ids, "doc_id", "left_semi"), width)
+    def full(places: DataFrame) -> DataFrame:
+        return _full_sets(likely_in(texts, places, "doc_id").join(places, "doc_id").select(*PLACE, "text"), width)
 
     places, settled = compared(cut_lineage(canopies(classes)), full, sketched, percent)
     near = cut_lineage(by_group(places.join(sketched, "doc_id"), promising(percent / 100), "leader long, doc_id long, own int, i int, j int"))
-    found = by_group(near.join(full(near.select("doc_id")), "doc_id"), links(percent), "a long, b long")
+    found = by_group(full(near), links(percent), "a long, b long")
     edges = reduce(DataFrame.union, [found, *settled, *_same_id(named, classes)])
     reached = components(edges)
     reps = classes.join(reached, F.col("doc_id") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("component", "doc_id").alias("component_id"), "copies")
@@ -436,14 +437,19 @@ def _as_bytes(rows: DataFrame) -> DataFrame:
 
 
 def _full_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, values): the whole set of each text."""
+    """Rows of PLACE with n and values, the whole set of the text that stands last; made once for equal texts that follow each other."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, values = None, b""
         for batch in batches:
-            sets = [shingle_set(body.as_py(), width) for body in batch.column(1)]
+            sets = []
+            for body in batch.column(len(PLACE)):
+                text = body.as_py()
+                if text != last:
+                    last, values = text, shingle_set(text, width).tobytes()
+                sets.append(values)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "n", "values"],
+                [*batch.columns[: len(PLACE)], pa.array([len(v) // 8 for v in sets], pa.int64()), pa.array(sets, pa.binary())], names=[*PLACE, "n", "values"]
             )
 
-    return texts.mapInArrow(made, "doc_id long, n long, values binary")
+    return texts.mapInArrow(made, "leader long, doc_id long, own int, i int, j int, n long, values binary")

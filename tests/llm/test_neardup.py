@@ -199,3 +199,40 @@ def test_common_values_broadcast_or_shuffled(spark, monkeypatch, few):
     monkeypatch.setattr(n, "BROADCAST_IDS", few)
     monkeypatch.setattr(n, "COMMON", 8)
     check(spark, templated(40, 60, 30) + [(i + 100, t) for i, t in templated(30, 60, 2)], 3, 85)
+
+
+def test_full_sets_shuffle_only_the_texts_compared(spark):
+    """Among long texts, a canopy of short ones that takes a pivot: the long ones are not shuffled for it."""
+    draw = np.random.default_rng(6)
+    long = [(i + 1000, " ".join(map(str, draw.integers(0, 1 << 40, 3000)))) for i in range(200)]
+    docs = spark.createDataFrame(templated(300, 60, 2) + long, "doc_id long, text string")
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return sum(e.totalShuffleWrite() for e in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+    docs = n.cut_lineage(docs)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = written()
+        got = {r["doc_id"]: r["component_id"] for r in n.near_duplicates(docs, 3, 85).collect()}
+        moved = written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {**dict.fromkeys(range(300), 0), **{d: d for d, _ in long}}
+    assert 0 < moved < sum(len(t) for _, t in long) / 4
+
+
+@pytest.mark.parametrize("most", [1 << 27, 1 << 15])
+def test_likely_in_keeps_all_that_are_named(spark, monkeypatch, most):
+    from sightline.llm import common
+
+    monkeypatch.setattr(common, "FILTER_BITS", most)
+    rows = spark.range(-50_000, 150_000).selectExpr("id as doc_id", "id % 7 as Bitmap").unionByName(spark.createDataFrame([(None, 1)], "doc_id long, Bitmap long"))
+    for count in (0, 1, 20_000, 40_000):
+        named = spark.range(count).selectExpr("id * 3 - 40000 as doc_id")
+        kept = common.likely_in(rows, named, "doc_id")
+        assert kept.columns == rows.columns and kept.distinct().count() == kept.count()
+        assert kept.join(named, "doc_id").count() == count
+        if most > 1 << 15:
+            assert kept.count() <= count + 200_000 / 14
