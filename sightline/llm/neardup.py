@@ -51,6 +51,8 @@ ROUNDS = 4
 FEW = 8
 #: Common values, or ids of who holds them, up to which these are broadcast (8 bytes each); more of them are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows of PLACE up to which these are broadcast to the texts (about 80 bytes each); with more, the texts they name are shuffled.
+BROADCAST_PLACES = 200_000
 #: How far an estimate may fall short of the threshold: over four standard deviations.
 SLACK = 0.28
 #: Columns of a dense comparison that are multiplied at once.
@@ -398,7 +400,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, doc
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def full(places: DataFrame) -> DataFrame:
-        return _full_sets(likely_in(texts, places, "doc_id").join(places, "doc_id").select(*PLACE, "text"), width)
+        few = places.count() <= BROADCAST_PLACES
+        named = texts.join(F.broadcast(places), "doc_id") if few else likely_in(texts, places, "doc_id").join(places, "doc_id")
+        return _full_sets(named.select(*PLACE, "text"), width)
 
     places, settled = compared(cut_lineage(canopies(classes)), full, sketched, percent)
     near = cut_lineage(by_group(places.join(sketched, "doc_id"), promising(percent / 100), "leader long, doc_id long, own int, i int, j int"))

@@ -201,8 +201,10 @@ def test_common_values_broadcast_or_shuffled(spark, monkeypatch, few):
     check(spark, templated(40, 60, 30) + [(i + 100, t) for i, t in templated(30, 60, 2)], 3, 85)
 
 
-def test_full_sets_shuffle_only_the_texts_compared(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_full_sets_shuffle_only_the_texts_compared(spark, monkeypatch, few):
     """Among long texts, a canopy of short ones that takes a pivot: the long ones are not shuffled for it."""
+    monkeypatch.setattr(n, "BROADCAST_PLACES", few, raising=False)
     draw = np.random.default_rng(6)
     long = [(i + 1000, " ".join(map(str, draw.integers(0, 1 << 40, 3000)))) for i in range(200)]
     docs = spark.createDataFrame(templated(300, 60, 2) + long, "doc_id long, text string")
@@ -236,3 +238,16 @@ def test_likely_in_keeps_all_that_are_named(spark, monkeypatch, most):
         assert kept.join(named, "doc_id").count() == count
         if most > 1 << 15:
             assert kept.count() <= count + 200_000 / 14
+
+
+def test_few_places_are_broadcast_to_the_texts(spark, monkeypatch):
+    picked = []
+    real = n.likely_in
+    monkeypatch.setattr(n, "likely_in", lambda rows, *args: picked.append(rows.columns) or real(rows, *args))
+    monkeypatch.setattr(n, "BLOCK", 20)
+    rows = templated(60, 80, 2)
+    check(spark, rows, 3, 85)
+    assert ["doc_id", "text"] not in picked
+    monkeypatch.setattr(n, "BROADCAST_PLACES", 0)
+    check(spark, rows, 3, 85)
+    assert ["doc_id", "text"] in picked
